@@ -31,9 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark and n_chars counted anew where one was."""
-    clean = op1_secrets.redact(docs.withColumn("_was", F.col("text")), op1_secrets.default_model(spark, docs))
-    changed = ~F.col("text").eqNullSafe(F.col("_was"))
-    return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return op1_secrets.redact(docs, op1_secrets.default_model(spark, docs), chars="n_chars")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,6 +27,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == HELD_OUT_REMAINDER, F.lit(True))
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores in front as it takes to clash with no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder, so that a lost executor costs a re-read, not a recompute.
 

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import spare, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -167,9 +167,13 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every span of the text replaced by ``mark``; rows without spans keep their text."""
-    got = scan(docs, model, text, "_base", "_added").withColumn("_all", F.array_sort(F.concat("_base", "_added")))
+def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str = "[SECRET]", chars: str | None = None) -> DataFrame:
+    """``docs`` with every span of the text replaced by ``mark``; rows without spans stay as they are.
+
+    Where a text changes, the column ``chars``, if named, gets its new number of characters.
+    """
+    base, added, spans, clean = spare(docs, "base_spans", "added_spans", "spans", "clean")
+    got = scan(docs, model, text, base, added).withColumn(spans, F.array_sort(F.concat(base, added)))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
@@ -178,8 +182,10 @@ def redact(docs: DataFrame, model: list[float], text: str = "text", mark: str =
         return F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), F.when(gap >= 0, F.concat(acc["out"], piece)).otherwise(acc["out"]).alias("out"))
 
     last = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"], F.length(text)))
-    cleaned = F.when(F.size("_all") > 0, F.aggregate("_all", start, add, last)).otherwise(F.col(text))
-    return got.withColumn(text, cleaned).drop("_base", "_added", "_all")
+    found = F.size(spans) > 0
+    out = got.withColumn(clean, F.when(found, F.aggregate(spans, start, add, last)).otherwise(F.col(text)))
+    new = {text: F.col(clean)} | ({chars: F.when(found, F.length(clean).cast(docs.schema[chars].dataType)).otherwise(F.col(chars))} if chars else {})
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, checkpoint, table
+from tessera.llm.common import WORD, checkpoint, spare, table
 
 WEIGHTS, CAP = (5, 2, 1), 3
 FAN, LARGEST = 64, 1024
@@ -131,13 +131,14 @@ def apply_mix(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Rows meet their numbers of copies on (doc_id, hash of the text, source); equal rows share theirs.
     """
-    share = mixed(docs, text).groupBy("doc_id", "tie", "source").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")).where("_copies > 0")
-    keyed = docs.withColumn("_tie", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    met = keyed.alias("d").join(share.alias("s"), (F.col("d._tie") == F.col("s.tie")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & F.col("d.source").eqNullSafe(F.col("s.source")))
-    columns = [F.col(f"d.{c}").alias(c) for c in docs.columns]
-    nth = F.row_number().over(Window.partitionBy("d._tie", "d.doc_id", "d.source").orderBy("d._tie"))
-    own = F.when(F.col("_rows") == 1, F.col("_copies")).otherwise(F.floor(F.col("_copies") / F.col("_rows")) + (nth <= F.col("_copies") % F.col("_rows")).cast("long"))
-    return met.select(*columns, own.alias("_own")).where("_own > 0").withColumn("_own", F.explode(F.sequence(F.lit(1).cast("long"), "_own"))).select(*docs.columns)
+    tie, own = spare(docs, "tie", "own")
+    share = mixed(docs, text).groupBy("doc_id", "tie", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    keyed = docs.withColumn(tie, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    same = (F.col(f"d.{tie}") == F.col("s.tie")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & F.col("d.source").eqNullSafe(F.col("s.source"))
+    nth = F.row_number().over(Window.partitionBy(f"d.{tie}", "d.doc_id", "d.source").orderBy(f"d.{tie}"))
+    times = F.floor(F.col("s.copies") / F.col("s.rows")) + (nth <= F.col("s.copies") % F.col("s.rows")).cast("long")
+    met = keyed.alias("d").join(share.alias("s"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], times.alias(own)).where(F.col(own) > 0)
+    return met.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
