@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,3 +16,38 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, key: str, seed: int, name: str = "idx") -> tuple[DataFrame, int]:
+    """``df`` with rows numbered from 0 in the order of a hash of (seed, key), and their count.
+
+    Ranges of the hash go to partitions of about equal size and are numbered on their own; only one count
+    a partition meets in one place.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
+    placed = cut(hashed.repartitionByRange(parts, "_h", key).withColumn("_part", F.spark_partition_id()))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    starts = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1
+    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inside")).drop("_h", "_part", "_start", "_inside"), n
+
+
+def shuffled_labels(labels: DataFrame, label: str, n_perm: int, seed: int) -> DataFrame:
+    """(perm, cell_id, label): ``n_perm`` shuffles of a label column over cells.
+
+    Cells are numbered once in a random order; shuffle p gives cell i the label of cell a_p i + b_p modulo
+    their count, a_p without a common divisor. The random order makes each shuffle uniform; an equi join
+    deals the labels, so no shuffle is ever sorted.
+    """
+    rows, n = numbered(labels.select("cell_id", F.col(label).alias("label")), "cell_id", seed)
+    rows = cut(rows)
+    random = np.random.default_rng(seed)
+    draws = []
+    for p in range(n_perm if n else 0):
+        a = next(x for x in iter(lambda: int(random.integers(1, min(n, 1 << 27) + 1)), 0) if math.gcd(x, n) == 1)
+        draws.append((p, a, int(random.integers(0, n))))
+    perms = labels.sparkSession.createDataFrame(draws, "perm long, a long, b long")
+    moved = rows.join(F.broadcast(perms)).select("perm", "cell_id", F.pmod(F.col("a") * F.col("idx") + F.col("b"), F.lit(max(n, 1))).alias("at"))
+    return moved.join(rows.select(F.col("idx").alias("at"), "label"), "at").select("perm", "cell_id", "label")

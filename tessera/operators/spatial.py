@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import cut, shuffled_labels
 from tessera.operators.graph import symmetrised, with_ends
 from tessera.schema import SchemaError, edges_out_of_range
 
@@ -59,20 +60,10 @@ def colocation_counts(labels: DataFrame, edges: DataFrame, column: str = "cell_t
 def colocation_enrichment(labels: DataFrame, edges: DataFrame, n_perm: int = 100, seed: int = 0, column: str = "cell_type") -> DataFrame:
     """(a, b, observed, null_mean, null_sd, z) against ``n_perm`` shuffles of the labels over cells.
 
-    A shuffle sorts cells by a hash of (seed, shuffle, cell) and deals the labels out in cell order; both
-    sides get their ranks from windows of one shuffle each, so shuffles spread over tasks. z is 0 where the
-    null does not vary.
+    See ``shuffled_labels`` for the shuffles. z is 0 where the null does not vary.
     """
-    spark = labels.sparkSession
     ids = labels.select("cell_id", F.col(column).alias("label"))
-    perms = spark.range(n_perm).select(F.col("id").alias("perm"))
-    each = ids.join(perms)  # every cell once a shuffle, by request
-    ranked = each.select(
-        "perm", "cell_id", "label",
-        F.row_number().over(Window.partitionBy("perm").orderBy("cell_id")).alias("own"),
-        F.row_number().over(Window.partitionBy("perm").orderBy(F.xxhash64(F.lit(seed), "perm", "cell_id"), "cell_id")).alias("drawn"),
-    )
-    shuffled = ranked.select("perm", "cell_id", F.col("drawn").alias("at")).join(ranked.select("perm", F.col("own").alias("at"), "label"), ["perm", "at"]).select("perm", "cell_id", "label")
+    shuffled = cut(shuffled_labels(labels, column, n_perm, seed))
     both = symmetrised(edges)
     a = shuffled.select("perm", F.col("cell_id").alias("src"), F.col("label").alias("a"))
     b = shuffled.select("perm", F.col("cell_id").alias("dst"), F.col("label").alias("b"))
