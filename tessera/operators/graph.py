@@ -199,3 +199,14 @@ def adjacent_pairs(edges: DataFrame, assignments: DataFrame, among: DataFrame) -
     pairs = catalog.select(F.col("prototype_id").alias("src_proto")).join(catalog.select(F.col("prototype_id").alias("dst_proto")), F.col("src_proto") != F.col("dst_proto"))
     counts = prototype_adjacency(edges, assignments)
     return pairs.join(counts, ["src_proto", "dst_proto"], "left").select("src_proto", "dst_proto", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def nearest_centre(cells: DataFrame, centres: DataFrame) -> DataFrame:
+    """(cell_id, centre_id, dist): each cell's nearest of its section's centres (section_id, centre_id, x, y), the least id of ties.
+
+    A Voronoi assignment; centres are few a section, so the join is one to few, and only the best is kept.
+    """
+    c = centres.select("section_id", "centre_id", F.col("x").alias("cx"), F.col("y").alias("cy"))
+    d2 = (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy"))
+    best = cells.join(c, "section_id").groupBy("cell_id").agg(F.min(F.struct(d2.alias("d2"), "centre_id")).alias("b"))
+    return best.select("cell_id", F.col("b.centre_id").alias("centre_id"), F.sqrt("b.d2").alias("dist"))

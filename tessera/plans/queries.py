@@ -126,6 +126,13 @@ def edges_of_unknown_cells(spark, sf):
     return edges_out_of_range(edges_emb(spark, sf).select("src", "dst"), views.proto_emb(spark, sf).where("prototype_id < 4"))
 
 
+@query(with_views("cells_emb proto_emb", f", centres AS (SELECT section_id, prototype_id AS centre_id, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM cells_emb JOIN proto_emb USING (cell_id, section_id) GROUP BY 1, 2), d AS (SELECT cell_id, centre_id, (x - cx) * (x - cx) + (y - cy) * (y - cy) AS d2 FROM cells_emb JOIN centres USING (section_id)), r AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY d2, centre_id) AS k FROM d) SELECT cell_id, centre_id, {r9('sqrt(d2)', 'dist')} FROM r WHERE k = 1"))
+def nearest_centre(spark, sf):
+    cells = views.cells_emb(spark, sf)
+    at = cells.join(views.proto_emb(spark, sf).drop("section_id"), "cell_id").groupBy("section_id", F.col("prototype_id").alias("centre_id"))
+    return rounded(graph.nearest_centre(cells, at.agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))), "dist")
+
+
 ADJ = ", counts AS (SELECT a.prototype_id AS src_proto, b.prototype_id AS dst_proto, count(*) AS n FROM edges JOIN proto_emb a ON a.cell_id = src JOIN proto_emb b ON b.cell_id = dst GROUP BY 1, 2)"
 
 
@@ -227,6 +234,19 @@ def unit_rows(spark, sf):
     return features.unit_rows(vectors).select("cell_id", F.posexplode("features").alias("gene_id", "value")).withColumn("value", nine("value"))
 
 
+@query(with_views("expr", ", g AS (SELECT gene, CAST(row_number() OVER (ORDER BY gene) - 1 AS INTEGER) AS gene_id FROM (SELECT DISTINCT gene FROM expr)), c AS (SELECT DISTINCT cell_id FROM expr) SELECT c.cell_id, g.gene_id, coalesce(e.value, 0) AS value FROM c CROSS JOIN g LEFT JOIN expr e ON e.cell_id = c.cell_id AND e.gene = g.gene"))
+def dense_features(spark, sf):
+    coded = features.category_codes(cut(views.expr(spark, sf)), "gene", "gene_id").withColumn("gene_id", F.col("gene_id").cast("int"))
+    n = coded.agg(F.max("gene_id")).first()[0] + 1
+    return features.wide(coded, n).select("cell_id", F.posexplode("features").alias("gene_id", "value"))
+
+
+@query("SELECT array_to_string(list_sort(list(DISTINCT source)), '+') AS card FROM documents")
+def card_id(spark, sf):
+    sources = [r[0] for r in views.table(spark, sf, "documents").select("source").distinct().collect()]
+    return spark.createDataFrame([(features.dataset_card_id([f"/data/{s}/cells.parquet" for s in sources]),)], "card string")
+
+
 # --- agreement -------------------------------------------------------------------------------------
 
 JOINT = ", joint AS (SELECT pred AS p, true_label AS t, count(*) AS n FROM labelings GROUP BY 1, 2)"
@@ -560,6 +580,11 @@ def pca(spark, sf):
     return cluster.pca(_embedded(spark, sf), 8, "h")
 
 
+@query()
+def projection_2d(spark, sf):
+    return cluster.projection(_embedded(spark, sf), "h")
+
+
 @query()
 def kmeans_assign(spark, sf):
     return cluster.spherical_kmeans(_embedded(spark, sf), 8, column="h")

@@ -9,8 +9,11 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import cut
 from tessera.operators.features import QcReport, apply_qc, category_codes, looks_like_raw_counts, normalise_log1p, resolve_sections
+from tessera.operators.graph import build_graph
 from tessera.operators.model import NicheModelResult
+from tessera.schema import validate_inputs
 
 
 @dataclass
@@ -61,6 +64,19 @@ def load_dataset(spark: SparkSession, cells_path: str, expr_path: str, *, alread
     return Loaded(cells, expr, n_genes, [*notes, note], report)
 
 
+def build_contract(spark: SparkSession, cells_path: str, expr_path: str, section_col: str = "auto", k: int = 8) -> tuple[Loaded, DataFrame]:
+    """The loaded tables and their neighbour graph, checked: no edge leaves its section."""
+    loaded = load_dataset(spark, cells_path, expr_path, section_col=section_col, qc=False)
+    edges = cut(build_graph(loaded.cells, k))
+    validate_inputs(loaded.cells, edges, loaded.expr)
+    return loaded, edges
+
+
+def niche_map(cells: DataFrame, assignments: DataFrame) -> DataFrame:
+    """What a map of niches shows: (section_id, x, y, prototype_id) of every cell."""
+    return cells.join(assignments, "cell_id").select("section_id", "cell_id", "x", "y", "prototype_id")
+
+
 def write_fit(result: NicheModelResult, folder: str) -> None:
     """embeddings, assignments, markers and interactions as Parquet; kinds also as a JSON list by prototype."""
     result.embeddings.join(result.assignments, "cell_id").write.mode("overwrite").parquet(f"{folder}/niche")
