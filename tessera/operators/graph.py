@@ -72,8 +72,8 @@ def knn_grid(cells: DataFrame, k: int) -> DataFrame:
     """Nearest neighbours by a grid over x and y; exact, and equal to ``knn_join``.
 
     A section's grid has about k + 1 cells a square. A cell meets the 3 x 3 squares around it, and is
-    done if its k-th distance is within what those squares cover; the others try again with squares twice
-    as wide, until the squares cover the section. Of cells at one place only the k + 1 least ids can be
+    done if its k-th distance is within what those squares cover; the others try again with squares three
+    times as wide, until the squares cover the section. Of cells at one place only the k + 1 least ids can be
     anyone's neighbours, so piles of coincident cells do not multiply. Each round is cut to the shared
     folder, so its size is what remains, not what was tried.
     """
@@ -84,9 +84,9 @@ def knn_grid(cells: DataFrame, k: int) -> DataFrame:
     longest = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
     width = F.greatest(spread, longest * (k + 1) / F.col("m"))
     box = box.withColumn("h", F.when(width > 0, width).otherwise(1.0)).withColumn("want", F.least(F.lit(k).cast("long"), F.col("m") - 1))
-    placed = cells.join(box, "section_id")
     at_place = Window.partitionBy("section_id", *axes).orderBy("cell_id")
-    candidates = placed.withColumn("nth", F.row_number().over(at_place)).where(F.col("nth") <= k + 1)
+    placed = cut(cells.join(box, "section_id").withColumn("nth", F.row_number().over(at_place)))
+    candidates = placed.where(F.col("nth") <= k + 1)
     waiting, done, scale = placed.where("want > 0"), None, 1.0
     while True:
         side = F.col("h") * scale
@@ -113,10 +113,10 @@ def knn_grid(cells: DataFrame, k: int) -> DataFrame:
         sure = (F.count(F.lit(1)).over(whole) >= F.col("want")) & (F.sqrt(F.max("d2").over(whole)) <= F.min("reach").over(whole) * (1 - 1e-9))
         found = cut(top.withColumn("sure", sure).where("sure").select("section_id", "src", "dst", "rank", "d2"))
         done = found if done is None else done.unionByName(found)
-        waiting = cut(waiting.join(found.where("rank = 1").select(F.col("src").alias("cell_id")), "cell_id", "left_anti"))
+        waiting = waiting.join(found.where("rank = 1").select(F.col("src").alias("cell_id")), "cell_id", "left_anti")
         if not waiting.limit(1).count():
             return _edges(done)
-        scale *= 2
+        scale *= 3
 
 
 def delaunay_graph(cells: DataFrame, *, check: bool = True) -> DataFrame:
