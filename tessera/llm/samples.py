@@ -36,8 +36,9 @@ def sparse_rows(sample: DataFrame, features: Callable[[bytes], tuple[np.ndarray,
         for batch in batches:
             made = [features(t) for t in batch["text"]]
             label = [x.decode() if isinstance(x, bytes) else x for x in batch["label"]]
-            yield {"doc_id": batch["doc_id"], "label": label, "at": [m[0].astype(np.int32) for m in made], "value": [m[1].astype(np.float32) for m in made]}
+            yield {"doc_id": batch["doc_id"], "label": label, "at": [m[0].astype(np.int32).tobytes() for m in made], "value": [m[1].astype(np.float32).tobytes() for m in made]}
 
-    got = map_batches(sample, f"doc_id long, label {kind}, at array<int>, value array<float>", run).collect()
+    # packed as bytes: lists of Python numbers would take ten times the driver's memory
+    got = map_batches(sample, f"doc_id long, label {kind}, at binary, value binary", run).collect()
     got.sort(key=lambda r: (r["doc_id"], str(r["label"]), r["at"], r["value"]))
-    return [(np.array(r["at"], np.int64), np.array(r["value"], np.float64)) for r in got], [r["label"] for r in got]
+    return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32)) for r in got], [r["label"] for r in got]
