@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
 from tessera.llm.common import map_batches, table
-from tessera.llm.samples import labelled_sample, sparse_rows
+from tessera.llm.samples import sample_by_labels, sparse_rows
 
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
@@ -119,8 +119,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """None where labels do not hold both classes."""
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("_label")).distinct()
-    sample = labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), "_label", per_class)
+    sample = sample_by_labels(docs, labels, "quality", per_class)
     rows, target = sparse_rows(sample, _shares)
     target = np.array(target, np.int64)
     if len(set(target.tolist())) < 2:

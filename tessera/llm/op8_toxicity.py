@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
 from tessera.llm.common import held_out, map_batches, table
-from tessera.llm.samples import labelled_sample, sparse_rows
+from tessera.llm.samples import sample_by_labels, sparse_rows
 
 DIMENSION = 1 << 20
 PER_CLASS = 2500
@@ -71,8 +71,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    known = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").alias("_label")).distinct()
-    sample = labelled_sample(docs.select("doc_id", "text").join(known, "doc_id"), "_label", per_class)
+    sample = sample_by_labels(docs, labels, "toxic", per_class)
     rows, target = sparse_rows(sample, features)
     return Model(ftrl.fit(rows, np.array(target, np.int64), 2, DIMENSION, alpha=ALPHA, l1=L1, l2=L2, epochs=EPOCHS))
 

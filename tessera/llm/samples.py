@@ -13,19 +13,35 @@ from tessera.llm.common import held_out, map_batches
 SCALE = 1 << 30
 
 
+def _chosen(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """About ``per_class`` rows for each value of ``label``: those whose hash of doc_id is under a threshold set from the class's exact count."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
+    below = F.lit(0)
+    for value, n in counts.items():
+        below = F.when(F.col(label) == F.lit(value), F.lit(min(SCALE, int(SCALE * per_class / n)))).otherwise(below)
+    return rows.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(SCALE)) < below)
+
+
 def labelled_sample(docs: DataFrame, label: str, per_class: int, text: str = "text") -> DataFrame:
-    """(doc_id, text, label) of about ``per_class`` learnable rows for each value of ``label``.
+    """(doc_id, text, label) of about ``per_class`` learnable rows for each value of a column of ``docs``.
 
-    Rows are chosen by a hash of doc_id against a threshold set from the exact count of each class, so
-    the choice needs no sort, repeats between runs and is bounded at every size of input. Rows that are
+    The choice needs no sort, repeats between runs and is bounded at every size of input. Rows that are
     held out, or whose label or text is null, are never chosen.
     """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in known.groupBy(label).count().collect()}
-    below = F.lit(0)
-    for value, n in counts.items():
-        below = F.when(F.col(label) == F.lit(value), F.lit(min(SCALE, int(SCALE * per_class / n)))).otherwise(below)
-    return known.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(SCALE)) < below).select("doc_id", F.col(text).alias("text"), F.col(label).alias("label"))
+    return _chosen(known, label, per_class).select("doc_id", F.col(text).alias("text"), F.col(label).alias("label"))
+
+
+def sample_by_labels(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text: str = "text") -> DataFrame:
+    """(doc_id, text, label) of documents with about ``per_class`` learnable 0/1 labels of each kind in ``labels``.
+
+    Ids are chosen among the labels, so at most about 2 * ``per_class`` of them are broadcast to where the
+    documents are read, and no text is shuffled. A document labelled both ways may be chosen for either.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label")).distinct()
+    chosen = _chosen(known, "label", per_class)
+    rows = docs.where(F.col(text).isNotNull()).select("doc_id", F.col(text).alias("text"))
+    return rows.join(F.broadcast(chosen), "doc_id")
 
 
 def sparse_rows(sample: DataFrame, features: Callable[[bytes], tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
