@@ -32,6 +32,7 @@ CAP = 3.0
 #: Rows whose best product is low take all filters that come this near to it, so none is left with few.
 MARGIN = 0.6
 BLOCK = 2048
+MOST_BROADCAST = 100_000
 SEED = 20
 
 
@@ -118,11 +119,15 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _dealt(members: DataFrame, group: list[str], block: int) -> DataFrame:
     """``members`` once for each pair of blocks of their group: ``part`` names the pair, ``side`` the larger or smaller block of it."""
-    sizes = members.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("long").alias("blocks"))
+    large = members.groupBy(*group).count().where(F.col("count") > block)
+    large = checkpoint(large.select(*group, F.ceil(F.col("count") / block).cast("long").alias("blocks")))
+    # a row for each group of more than a block: few, but their number is checked before they travel
+    sizes = F.broadcast(large) if large.count() <= MOST_BROADCAST else large
     own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks"))
     others = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
     pairs = F.transform(others, lambda j: F.struct((F.greatest(own, j) * F.col("blocks") + F.least(own, j)).alias("part"), F.when(own == j, 2).when(own > j, 1).otherwise(0).alias("side")))
-    dealt = members.join(sizes, group).select(*members.columns, F.inline(pairs))
+    sized = members.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    dealt = sized.select(*members.columns, F.inline(pairs))
     return dealt.repartition(*group, "part").sortWithinPartitions(*group, "part")
 
 
