@@ -15,7 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op1_secrets, op2_simhash, op8_toxicity, op9_mixing, op10_bpe
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import checkpoint, shared_folder, table
+
+MOST_BROADCAST = 200_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the document with the least id; rows of that id all stay."""
-    extra = op2_simhash.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(extra, docs["doc_id"].cast("long") == extra["_gone"], "left_anti")
+    extra = checkpoint(op2_simhash.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
+    # ids of 8 bytes; where they are too many to travel, texts are shuffled instead
+    gone = F.broadcast(extra) if extra.count() <= MOST_BROADCAST else extra
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

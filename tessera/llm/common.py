@@ -77,6 +77,7 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, lis
     Each output dict maps every column of ``schema`` to a list or array. Batches are cut to about
     ``SLICE_BYTES`` of input, so that very long documents do not add up in one worker.
     """
+    bounded_batches(df.sparkSession)
     out = {f.name: pa_type(f.dataType.simpleString()) for f in schema_of(schema)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,6 +98,11 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, lis
 SLICE_BYTES = 8 << 20
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at SLICE_BYTES, so that neither side of a Python worker holds thousands of long documents at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     parts = max(1, min(batch.num_rows, -(-batch.nbytes // SLICE_BYTES)))
     step = -(-batch.num_rows // parts) if batch.num_rows else 1

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
-from tessera.llm.common import held_out, map_batches, table
+from tessera.llm.common import bounded_batches, held_out, map_batches, table
 from tessera.llm.samples import sample_by_labels, sparse_rows
 
 DIMENSION = 1 << 20
@@ -96,6 +96,7 @@ def keep_clean(docs: DataFrame, model: Model, text: str = "text", threshold: flo
             values = batch.column(text).cast(pa.binary()).to_pylist()
             yield batch.filter(pa.array([score(t) < threshold for t in values], pa.bool_()))
 
+    bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
