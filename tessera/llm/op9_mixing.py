@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, checkpoint, spare, table
 
 WEIGHTS, CAP = (5, 2, 1), 3
-FAN, LARGEST = 64, 1024
+FAN, LARGEST = 64, 1000
 SEED = "pivotal"
 
 
@@ -135,10 +135,14 @@ def apply_mix(docs: DataFrame, text: str = "text") -> DataFrame:
     share = mixed(docs, text).groupBy("doc_id", "tie", "source").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
     keyed = docs.withColumn(tie, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     same = (F.col(f"d.{tie}") == F.col("s.tie")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("s.doc_id")) & F.col("d.source").eqNullSafe(F.col("s.source"))
+    met = keyed.alias("d").join(share.alias("s"), same)
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    # only equal rows need numbers; the others skip the window and its exchange of texts
     nth = F.row_number().over(Window.partitionBy(f"d.{tie}", "d.doc_id", "d.source").orderBy(f"d.{tie}"))
     times = F.floor(F.col("s.copies") / F.col("s.rows")) + (nth <= F.col("s.copies") % F.col("s.rows")).cast("long")
-    met = keyed.alias("d").join(share.alias("s"), same).select(*[F.col(f"d.`{c}`") for c in docs.columns], times.alias(own)).where(F.col(own) > 0)
-    return met.withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    single = met.where("s.rows = 1").select(*columns, F.col("s.copies").alias(own))
+    equal = met.where("s.rows > 1").select(*columns, times.alias(own)).where(F.col(own) > 0)
+    return single.unionByName(equal).withColumn(own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(own)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
