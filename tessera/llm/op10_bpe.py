@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, table
-from tessera.llm.units import KEEP_BYTES, KEEP_UNITS, encode_texts, gather, pieces
+from tessera.llm.units import KEEP_BYTES, encode_texts, gather, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
+#: Entries of a worker's tables: units with their ids, words with theirs, and compatible pairs.
+KEEP_UNITS, KEEP_WORDS, KEEP_PAIRS = 250_000, 100_000, 200_000
 #: White space as the tokenizers library sees it (the Unicode property).
 _W = r"\p{White_Space}"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _W + r"\p{L}\p{N}]+|" + _W + r"+(?!" + f"[^{_W}])|" + _W + "+")
@@ -76,7 +78,7 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(self.token), np.uint8)
         self.between = regex.compile(b"(" + b"|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special else None
         self.words: dict[str, list[int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``left`` and ``right`` stay whole side by side.
@@ -84,11 +86,12 @@ class Bpe:
         Merges that would cross the border are looked for from the last made pair of border tokens
         backwards in rank; ``limit`` is the rank up to which both border tokens already exist.
         """
-        known = self.fits.get((left, right))
+        pair = left << 16 | right
+        known = self.fits.get(pair)
         if known is None:
-            if len(self.fits) > 1_000_000:
-                self.fits.clear()
-            known = self.fits[left, right] = self._compatible(left, right)
+            known = self._compatible(left, right)
+            if len(self.fits) < KEEP_PAIRS:
+                self.fits[pair] = known
         return known
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -137,7 +140,7 @@ class Bpe:
         for w in _WORDS.findall(unit.decode()):
             if (got := self.words.get(w)) is None:
                 got = self.word(w.encode())
-                if len(w) <= KEEP_BYTES and len(self.words) < KEEP_UNITS // 2:
+                if len(w) <= KEEP_BYTES and len(self.words) < KEEP_WORDS:
                     self.words[w] = got
             ids += got
         return ids
@@ -199,7 +202,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for batch in batches:
             stretches = [list(bpe.stretches(t)) if t else [] for t in batch["text"]]
             plain = [s for doc in stretches for s, special in doc if special < 0]
-            flat, at = encode_texts(plain, known, whole)
+            flat, at = encode_texts(plain, known, whole, KEEP_UNITS)
             if any(special >= 0 for doc in stretches for _, special in doc):
                 spans = iter(zip(at[:-1], at[1:], strict=True))
                 docs_ids = [[np.array([x], np.uint16) if x >= 0 else flat[slice(*next(spans))] for _, x in doc] for doc in stretches]

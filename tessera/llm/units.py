@@ -25,7 +25,7 @@ def pieces(text: bytes) -> list[bytes]:
     return _START.split(text) if _JOINED.search(text) else text.split(b" ")
 
 
-def encode_texts(texts: list[bytes], known: dict[bytes, bytes], encode: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(texts: list[bytes], known: dict[bytes, bytes], encode: Callable[[list[bytes]], list[bytes]], keep: int = KEEP_UNITS) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts one after the other, offsets of the texts) as unsigned 16-bit ids.
 
     ``encode`` gives the ids of units as 16-bit bytes; ``known`` keeps those of units that begin with a
@@ -46,7 +46,7 @@ def encode_texts(texts: list[bytes], known: dict[bytes, bytes], encode: Callable
     gaps = [k for k, x in enumerate(forms) if x is None]
     for k, got in zip(gaps, encode([b" " + units[k] for k in gaps]), strict=True):
         forms[k] = got
-        if len(known) < KEEP_UNITS and len(units[k]) <= KEEP_BYTES:  # the common units come first
+        if len(known) < keep and len(units[k]) <= KEEP_BYTES:  # the common units come first
             known[units[k]] = got
     index[bounds[:-1]] = len(forms) + np.arange(len(firsts))
     forms += encode(firsts)
@@ -57,16 +57,26 @@ def encode_texts(texts: list[bytes], known: dict[bytes, bytes], encode: Callable
     return gather(flat, starts[index], sizes[index]), ends[bounds]
 
 
+#: Places that ``gather`` works out at a time; each takes two 8-byte numbers while it does.
+GATHER = 1 << 20
+
+
 def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """flat[start : start + size] of each, one after the other."""
-    ends = np.cumsum(sizes)
-    if not len(ends):
-        return flat[:0]
-    at = np.ones(int(ends[-1]), np.int64)
     some = np.flatnonzero(sizes)
     if not len(some):
         return flat[:0]
-    first, begins = starts[some], ends[some] - sizes[some]
-    at[begins] = first
-    at[begins[1:]] -= first[:-1] + sizes[some][:-1] - 1
-    return flat[np.cumsum(at)]
+    starts, sizes = starts[some], sizes[some]
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]), flat.dtype)
+    row = 0
+    while row < len(ends):
+        begin = int(ends[row] - sizes[row])
+        past = max(row + 1, int(np.searchsorted(ends, begin + GATHER, "right")))
+        first, size = starts[row:past], sizes[row:past]
+        at = np.ones(int(ends[past - 1]) - begin, np.int64)
+        at[0] = first[0]
+        at[ends[row : past - 1] - begin] += first[1:] - first[:-1] - size[:-1]
+        out[begin : begin + len(at)] = flat[np.cumsum(at)]
+        row = past
+    return out
