@@ -15,7 +15,8 @@ blocks. What grows in one task is the list of sources, one row each, which is ra
 the level of the caps by windows.
 
 Null text or no words: size 0, taken 0. Null source: a source of its own, last. Null or repeated
-doc_ids: rows are rounded one by one; fully repeated rows share a block. Empty table: empty result.
+doc_ids: rows are rounded one by one; fully repeated rows are numbered, and the number is part of their
+order, their block and their draws. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import WORD, checkpoint, spare, table
 
 WEIGHTS, CAP = (5, 2, 1), 3
-FAN, LARGEST = 64, 1000
+FAN, LARGEST, RUN = 64, 1000, 4096
 SEED = "pivotal"
 
 
@@ -51,7 +52,14 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return levels.select("source", "source_size", "documents", target.alias("target"))
 
 
-ITEM = "struct<size:bigint,rank:bigint,doc_id:bigint,tie:bigint,copies:bigint,mass:double>"
+#: The fields up to nth tell all rows of a source apart and are the order of every fold.
+ITEM = "struct<size:bigint,rank:bigint,doc_id:bigint,tie:bigint,nth:bigint,copies:bigint,mass:double>"
+ORDER = ("size", "rank", "doc_id", "tie", "nth")
+
+
+def _name(item: str) -> str:
+    """Arguments of a hash that tell rows apart; xxhash64 skips nulls, so only repeated rows add their number."""
+    return f"{item}doc_id, {item}tie, nullif({item}nth, 0L)"
 
 
 def _fold() -> str:
@@ -63,41 +71,48 @@ def _fold() -> str:
     """
     a = "acc.item"
     mass = f"greatest(0D, least(cast({a}.size as double), {a}.mass))"
-    drawn = f"(xxhash64('{SEED}', {a}.doc_id, {a}.tie, b.doc_id, b.tie) & 9007199254740991) / 9007199254740992D"
+    drawn = f"(xxhash64('{SEED}', {_name(a + '.')}, {_name('b.')}) & 9007199254740991) / 9007199254740992D"
     taken = f"if({drawn} * {a}.size < {mass}, 1L, 0L)"
-    kept = ", ".join(f"'{f}', b.{f}" for f in ("size", "rank", "doc_id", "tie", "copies"))
+    kept = ", ".join(f"'{f}', b.{f}" for f in (*ORDER, "copies"))
     item = f"named_struct({kept}, 'mass', b.mass + {a}.mass - {taken} * {a}.size)"
     done = f"array(named_struct('doc_id', {a}.doc_id, 'tie', {a}.tie, 'size', {a}.size, 'copies', {a}.copies + {taken}))"
     start = "named_struct('item', items[0], 'done', cast(array() as array<struct<doc_id:bigint,tie:bigint,size:bigint,copies:bigint>>))"
     return f"aggregate(slice(items, 2, size(items)), {start}, (acc, b) -> named_struct('item', {item}, 'done', concat(acc.done, {done})))"
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``nth``, from 0, among fully repeated rows, which are counted and dealt out again in runs of RUN."""
+    counted = sizes.groupBy(*sizes.columns).agg(F.count(F.lit(1)).alias("rows"))
+    runs = counted.withColumn("from", F.explode(F.expr(f"sequence(0L, rows - 1, {RUN}L)"))).repartition("doc_id", "tie", "from")
+    return runs.select(*sizes.columns, F.explode(F.expr(f"sequence(from, least(from + {RUN}L, rows) - 1)")).alias("nth"))
+
+
 def mixed(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, source, tie, size, source_size, target, copies) of each row; ``tie`` is a hash of the text."""
     whole = F.coalesce(F.col(text), F.lit(""))
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64(whole).alias("tie"), F.regexp_count(whole, F.lit(WORD)).cast("long").alias("size"))
-    sizes = checkpoint(sizes)
+    sizes = checkpoint(_numbered(sizes))
     sources = checkpoint(source_targets(sizes))
     wanted = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = sizes.alias("d").join(sources.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.*", "source_size", "target", "documents", wanted.alias("wanted"))
     certain = F.floor("wanted")
     rows = rows.withColumn("copies", certain).withColumn("mass", (F.col("wanted") - certain) * F.col("size"))
     keys = ("source", "source_size", "target")
-    rank = F.xxhash64(F.lit("order"), "doc_id", "tie")
-    rows = rows.select(*keys, "documents", F.struct("size", rank.alias("rank"), "doc_id", "tie", "copies", "mass").cast(ITEM).alias("item"))
+    rank = F.expr(f"xxhash64('order', {_name('')})")
+    rows = rows.select(*keys, "documents", F.struct("size", rank.alias("rank"), "doc_id", "tie", "nth", "copies", "mass").cast(ITEM).alias("item"))
     open_ = rows.where("item.mass > 0")
     settled = [rows.where("item.mass <= 0").select(*keys, "item.doc_id", "item.tie", "item.size", "item.copies")]
-    largest = Window.partitionBy("source").orderBy(F.desc("item.size"), F.desc("item.rank"))
+    largest = Window.partitionBy("source").orderBy(*[F.desc(f"item.{f}") for f in ORDER])
     first = _folded(open_.withColumn("place", F.row_number().over(largest)).where(F.col("place") <= LARGEST), keys)
     settled += [first.select(*keys, F.inline("done")), _rounded(first, keys)]
     if (most := sources.agg(F.max("documents")).first()[0] or 0) > LARGEST:
-        missed = first.select("source", F.struct("item.size", "item.rank").alias("least"), (F.col("item.mass") - _last() * F.col("item.size")).alias("missed"))
+        missed = first.select("source", F.struct(*[f"item.{f}" for f in ORDER]).alias("least"), (F.col("item.mass") - _last() * F.col("item.size")).alias("missed"))
         where = F.col("r.source").eqNullSafe(F.col("m.source"))
-        rest = open_.where(F.col("documents") > LARGEST).alias("r").join(missed.alias("m"), where).where("struct(r.item.size, r.item.rank) < m.least").select("r.*", "missed")
+        rest = open_.where(F.col("documents") > LARGEST).alias("r").join(missed.alias("m"), where).where(F.struct(*[f"r.item.{f}" for f in ORDER]) < F.col("m.least")).select("r.*", "missed")
         words = rest.groupBy("source").agg(F.sum("item.size").alias("words"))
         rest = rest.alias("r").join(words.alias("m"), where).select("r.*", "words")
         moved = F.greatest(F.lit(0.0), F.least(F.col("item.size").cast("double"), F.col("item.mass") + F.col("missed") * F.col("item.size") / F.col("words")))
-        place = F.pmod(F.xxhash64(F.lit("block"), "item.doc_id", "item.tie"), F.ceil(F.col("documents") / F.lit(FAN)).cast("long"))
+        place = F.pmod(F.expr(f"xxhash64('block', {_name('item.')})"), F.ceil(F.col("documents") / F.lit(FAN)).cast("long"))
         level = rest.select(*keys, place.alias("block"), F.col("item").withField("mass", moved).alias("item"))
         width = -(-most // FAN)
         while width > 0:
@@ -119,7 +134,7 @@ def _folded(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 
 def _last() -> Column:
     """1 if a fraction left over at the end becomes a copy; mass beyond the size or below zero decides itself."""
-    return F.expr("if((xxhash64('last', item.doc_id, item.tie) & 9007199254740991) / 9007199254740992D * item.size < item.mass, 1L, 0L)")
+    return F.expr(f"if((xxhash64('last', {_name('item.')}) & 9007199254740991) / 9007199254740992D * item.size < item.mass, 1L, 0L)")
 
 
 def _rounded(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:

@@ -327,6 +327,25 @@ def test_mixing_of_one_large_source(spark):
     assert all(abs(r["taken"] - r["target"]) <= 0.01 * r["target"] for r in got)
 
 
+def test_mixing_of_repeated_rows(spark):
+    """Thousands of rows with one id and text, thousands of one text without an id, and both beside others."""
+    def part(source, rows, doc_id, words):
+        return spark.range(rows).select(doc_id.cast("long").alias("doc_id"), F.repeat(F.lit("w "), words).alias("text"), F.lit(source).alias("source"))
+    none, one = F.lit(None), F.lit(7)
+    made = part("a", 5000, one, 3)
+    for more in (part("b", 6000, none, 4), part("c", 900, F.col("id"), 5), part("c", 2500, one, 2), part("c", 2500, none, 2), part("d", 12000, F.col("id"), 2)):
+        made = made.unionByName(more)
+    got = op9_mixing.mixed(made).cache()
+    sizes = {"a": 15000, "b": 24000, "c": 14500, "d": 24000}
+    target, rows = water_level(sizes), {"a": 5000, "b": 6000, "c": 5900, "d": 12000}
+    for r in got.groupBy("source").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("copies") * F.col("size")).alias("taken"), F.first("target").alias("target")).collect():
+        assert r["rows"] == rows[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert abs(r["taken"] - r["target"]) <= 0.01 * r["target"]
+    key = lambda out: sorted((str(r["doc_id"]), r["source"], r["tie"], r["copies"]) for r in out.collect())
+    assert key(got) == key(op9_mixing.mixed(made.repartition(7)))
+    assert op9_mixing.apply_mix(made).count() == got.agg(F.sum("copies")).first()[0]
+
+
 def test_calibration():
     random = np.random.default_rng(0)
     margin = random.standard_normal(4000)
