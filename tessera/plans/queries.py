@@ -308,8 +308,11 @@ def clustering_agreement(spark, sf):
 
 @query()
 def seed_stability(spark, sf):
-    h = _embedded(spark, sf)
-    return rounded(runs.stability(h, views.cells_emb(spark, sf), n_seeds=3, n_prototypes=6)[0], "mean_ari", "sd_ari", "min_ari")
+    cells = cut(views.cells_emb(spark, sf))
+    config = model.NicheModelConfig(k=K, encoder=encoder.EncoderConfig(batch_size=features.effective_batch_size(0, cells.count())))
+    found, _, matched = runs.stability(cells, cut(views.features_emb(spark, sf)), cut(edges_emb(spark, sf)), n_genes=views.FEATURES, config=config)
+    pairs = matched.agg(F.sort_array(F.collect_list(F.struct("proto_a", "proto_b", "overlap"))).alias("matching"))
+    return rounded(found, "mean_ari", "sd_ari", "min_ari").crossJoin(pairs)
 
 
 # --- prototypes and samples ------------------------------------------------------------------------

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import itertools
 import time
+from dataclasses import replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,14 +79,31 @@ def pca_baseline_silhouette(expr: DataFrame, n_genes: int, assigned: DataFrame,
     return cluster.silhouette(cluster.pca(features.wide(expr, n_genes), n_components), assigned).first()[0]
 
 
-def stability(h: DataFrame, cells: DataFrame, *, n_seeds: int = 5, n_prototypes: int = 10, thresholds: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> tuple[DataFrame, DataFrame]:
-    """(seed stability, coverage sweep): k-means anew for each seed; the sweep is of the first."""
-    runs = [cut(cluster.spherical_kmeans(h, n_prototypes, seed=s, column="h")) for s in range(n_seeds)]
+def stability(cells: DataFrame, expr: DataFrame, edges: DataFrame, *, n_genes: int, config: model.NicheModelConfig | None = None, n_seeds: int = 5, thresholds: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(seed stability, coverage sweep, matching): the whole model, encoder included, is fitted anew for each seed.
+
+    Seeds count up from the config's. The sweep is of the first fit, the matching (proto_a, proto_b,
+    overlap) of the first two; None with one.
+    """
+    config = config or model.NicheModelConfig(k=GRAPH_K)
+    encoders = [replace(config.encoder, seed=config.encoder.seed + s) for s in range(n_seeds)]
+    runs = [model.fit(cells, expr, replace(config, encoder=e), n_genes=n_genes, edges=edges).assignments for e in encoders]
     every = None
     for s, run in enumerate(runs):
         rows = run.select("cell_id", F.lit(s).alias("labeling"), F.col("prototype_id").alias("label"))
         every = rows if every is None else every.unionByName(rows)
-    return agreement.seed_stability(agreement.pairwise_ari(every)), prototypes.coverage_sweep(runs[0].join(cells.select("cell_id", "section_id"), "cell_id"), thresholds)
+    matched = None
+    if n_seeds > 1:
+        a, b = (run.select("cell_id", F.col("prototype_id").alias(name)) for run, name in zip(runs[:2], "ab", strict=True))
+        matched = agreement.matching(a.join(b, "cell_id"), "a", "b")
+    return agreement.seed_stability(agreement.pairwise_ari(every)), prototypes.coverage_sweep(runs[0].join(cells.select("cell_id", "section_id"), "cell_id"), thresholds), matched
+
+
+def stability_run(loaded: tables.Loaded, *, n_seeds: int = 5, n_prototypes: int = 10, seed: int = 0, epochs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """``stability`` of fits like those of ``fit_run``."""
+    edges = cut(build_graph(loaded.cells, GRAPH_K))
+    encoder = EncoderConfig(seed=seed, batch_size=features.effective_batch_size(0, loaded.cells.count()), epochs=epochs)
+    return stability(loaded.cells, loaded.expr, edges, n_genes=loaded.n_genes, config=model.NicheModelConfig(k=GRAPH_K, n_prototypes=n_prototypes, encoder=encoder), n_seeds=n_seeds)
 
 
 def expand_grid(**axes) -> list[dict]:
@@ -188,20 +206,19 @@ def main(argv: list[str] | None = None) -> int:
         report.write_results(args.baseline, card, metrics, run_metadata=meta, results_dir=args.results_dir)
     elif args.command == "sweep":
         sweep(loaded, expand_grid(epochs=args.epochs, seed=[args.seed]), args.results_dir)
+    elif args.command == "stability":
+        found, sweep_, matched = stability_run(loaded, n_seeds=args.n_seeds, n_prototypes=args.n_prototypes, seed=args.seed)
+        matching = [] if matched is None else [r.asDict() for r in matched.orderBy("proto_a").collect()]
+        report.emit_stability(found.first().asDict(), [r.asDict() for r in sweep_.orderBy(F.desc("coverage")).collect()], args.results_dir, matching)
     else:
-        options = {"epochs": args.epochs, "batch_size": args.batch_size, "max_seconds": args.max_seconds} if args.command == "fit" else {}
-        result, _, metrics = fit_run(loaded, n_prototypes=args.n_prototypes, seed=args.seed, **options)
+        result, _, metrics = fit_run(loaded, n_prototypes=args.n_prototypes, seed=args.seed, epochs=args.epochs, batch_size=args.batch_size, max_seconds=args.max_seconds)
         took, batch = metrics.pop("runtime_s"), metrics.pop("batch_size")
-        if args.command == "stability":
-            found, sweep_ = stability(result.embeddings, loaded.cells, n_seeds=args.n_seeds, n_prototypes=args.n_prototypes)
-            report.emit_stability(found.first().asDict(), [r.asDict() for r in sweep_.orderBy(F.desc("coverage")).collect()], args.results_dir)
-        else:
-            tables.write_fit(result, f"{args.results_dir}/model/outputs")
-            report.write_results("model", card, metrics, run_metadata=meta | {"runtime_s": took, "batch_size": batch, "peak_rss_bytes": report.peak_rss_bytes()}, results_dir=args.results_dir)
-            if args.outcome_col and args.sample_col:
-                tagged = result.assignments.join(loaded.cells.select("cell_id", F.col(args.sample_col).alias("sample_id"), F.col(args.outcome_col).alias("outcome")), "cell_id")
-                if (found := outcome.outcome_table(tagged)) is not None:
-                    found.records.write.mode("overwrite").json(f"{args.results_dir}/model/outputs/outcome")
+        tables.write_fit(result, f"{args.results_dir}/model/outputs")
+        report.write_results("model", card, metrics, run_metadata=meta | {"runtime_s": took, "batch_size": batch, "peak_rss_bytes": report.peak_rss_bytes()}, results_dir=args.results_dir)
+        if args.outcome_col and args.sample_col:
+            tagged = result.assignments.join(loaded.cells.select("cell_id", F.col(args.sample_col).alias("sample_id"), F.col(args.outcome_col).alias("outcome")), "cell_id")
+            if (found := outcome.outcome_table(tagged)) is not None:
+                found.records.write.mode("overwrite").json(f"{args.results_dir}/model/outputs/outcome")
     return 0
 
 

@@ -50,6 +50,21 @@ def test_baselines(spark, saved, name):
     assert h.count() == 120 and h.columns == ["cell_id", "h"]
 
 
+def test_stability_refits_the_model_for_each_seed(spark, saved, tmp_path, monkeypatch):
+    fits, fit = [], runs.model.fit
+    monkeypatch.setattr(runs.model, "fit", lambda *a, **b: fits.append((a[2].encoder, got := fit(*a, **b))) or got)
+    common = [str(saved / "cells.parquet"), str(saved / "expr.parquet"), "--results-dir", str(tmp_path), "--section-col", "fov", "--min-genes", "1", "--n-prototypes", "3"]
+    assert runs.main(["stability", *common, "--n-seeds", "2"]) == 0
+    assert [(e.seed, e.epochs, e.d) for e, _ in fits] == [(0, 30, 32), (1, 30, 32)]
+    a, b = ({r["cell_id"]: r["prototype_id"] for r in got.assignments.collect()} for _, got in fits)
+    first, second = (sorted((r["cell_id"], *r["h"]) for r in got.embeddings.collect()) for _, got in fits)
+    written = json.loads((tmp_path / "niche_stability.json").read_text())
+    assert first != second and written["seed_stability"]["n_pairs"] == 1
+    pairs = written["prototype_matching_seed0_seed1"]
+    assert len(pairs) == 3 and all(r["overlap"] == sum(a[c] == r["proto_a"] and b[c] == r["proto_b"] for c in a) for r in pairs)
+    assert written["seed_stability"]["mean_ari"] == pytest.approx(1.0) or sum(r["overlap"] for r in pairs) < len(a)
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1), (0, 1), (1, 2)], "sample_id long, prototype_id long").withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
