@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the one before ke
 return the columns of ``documents``. ``run`` writes each result as Parquet into the shared folder and
 rereads it, so a lost executor costs a task, not the stages before.
 
-Nulls, empty texts, ties and repeated rows are handled as the operators state. Rows with a null doc_id
-pass the first two stages, which name documents by id; extra columns are carried along.
+Nulls, empty texts, ties and repeated rows are handled as the operators state, also where doc_id is null
+or repeated; extra columns are carried along.
 """
 
 from __future__ import annotations
@@ -26,11 +26,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the least id; rows of that id all stay."""
-    extra = checkpoint(op2_simhash.classes(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    # ids of 8 bytes; where they are too many to travel, texts are shuffled instead
-    gone = F.broadcast(extra) if extra.count() <= MOST_BROADCAST else extra
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """Of each SimHash component one row, of the least id (null last); of equal rows the least in all columns."""
+    tie = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = checkpoint(op2_simhash.kept_rows(docs, tie).where("not kept or rows > 1").select(F.col("doc_id").alias("_gone"), F.col("tie").alias("_tie"), "kept"))
+    counts = {r["kept"]: r["count"] for r in found.groupBy("kept").count().collect()}
+
+    def met(keys: DataFrame, many: int, how: str) -> DataFrame:
+        # keys of 16 bytes; where they are too many to travel, texts are shuffled instead
+        keys = F.broadcast(keys) if many <= MOST_BROADCAST else keys
+        return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["_gone"]) & (tie == keys["_tie"]), how)
+
+    single = met(found, sum(counts.values()), "left_anti")
+    if not counts.get(True):
+        return single
+    # equal rows shrink to one before they are exchanged
+    equal = met(found.where("kept"), counts[True], "left_semi").groupBy("doc_id", tie).agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionByName(equal.select("row.*"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

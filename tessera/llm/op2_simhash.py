@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, map_batches, table
@@ -53,14 +53,17 @@ def fingerprint(text: bytes | None) -> int:
     return int.from_bytes(np.packbits(2 * totals > len(bits)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp long) of each row; fp holds the 64 bits as a signed number."""
+def fingerprints(docs: DataFrame, text: str = "text", tie: Column | None = None) -> DataFrame:
+    """(doc_id, fp long, and tie long if given) of each row; fp holds the 64 bits as a signed number."""
+    also = {} if tie is None else {"tie": tie}
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for batch in batches:
-            yield {"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)}
+            yield {"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t) for t in batch["text"]], np.uint64).view(np.int64)} | {k: batch[k] for k in names}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id long, fp long", run)
+    names, columns = list(also), [c.cast("long").alias(k) for k, c in also.items()]
+    schema = ", ".join(["doc_id long", "fp long", *[f"{k} long" for k in names]])
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), *columns), schema, run)
 
 
 def _rotated(fp: np.ndarray, by: np.ndarray) -> np.ndarray:
@@ -175,6 +178,24 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def kept_rows(docs: DataFrame, tie: Column, text: str = "text") -> DataFrame:
+    """(doc_id, tie, rows, kept): equal rows counted; kept is true for one (doc_id, tie) of each component.
+
+    ``tie`` is a hash of the text. The least doc_id is kept, a null one only where no row has another,
+    and of texts with that id the one with the least tie.
+    """
+    marked = checkpoint(fingerprints(docs, text, tie).groupBy("doc_id", "tie", "fp").agg(F.count(F.lit(1)).alias("rows")))
+    first = F.struct(F.isnull("doc_id").alias("last"), "doc_id", "tie")
+    nodes = marked.groupBy("fp").agg(F.min(first).alias("least"))
+    parts = checkpoint(connected_components(links(nodes.select("fp"))))
+    members = parts.join(nodes, parts["node"] == nodes["fp"]).select("fp", "component", "least")
+    smallest = members.groupBy("component").agg(F.min("least").alias("first"))
+    joined = members.join(smallest, "component").select("fp", "first")
+    named = nodes.join(joined, "fp", "left").select("fp", F.coalesce("first", "least").alias("first"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    return marked.join(named, "fp").select("doc_id", "tie", "rows", kept.alias("kept"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

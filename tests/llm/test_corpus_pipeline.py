@@ -51,6 +51,17 @@ def test_stages_against_plain_versions(spark, sf_dir):
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in QUERIES["pipeline"](spark, sf_dir).collect()) == want
 
 
+def test_one_row_of_each_group_of_copies_stays(spark):
+    """Repeated rows, copies without ids, and an id that two texts share."""
+    a, b, c, d = ("alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red orange yellow green blue indigo", "north east south west up down left")
+    rows = [(5, a, "x")] * 3000 + [(None, a, "x")] * 40 + [(9, a, "y")] + [(None, b, s) for s in "yxy"] * 30 + [(9, c, "x"), (7, d, "x"), (7, d, "a"), (9, d, "x"), (None, None, "x"), (None, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    key = lambda rows: sorted(map(repr, map(tuple, rows)))
+    assert key(got.collect()) == key([(5, a, "x"), (None, b, "x"), (9, c, "x"), (7, d, "a"), (None, None, "x")])
+
+
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES[1:]:
