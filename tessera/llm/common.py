@@ -74,7 +74,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, object]]]) -> DataFrame:
     """``mapInArrow`` for functions over {column: list of Python values}; strings come as UTF-8 bytes.
 
-    Each output dict maps every column of ``schema`` to a list or array. Batches are cut to about
+    Each output dict maps every column of ``schema`` to a list, a numpy array or an Arrow array. Batches are cut to about
     ``SLICE_BYTES`` of input, so that very long documents do not add up in one worker.
     """
     bounded_batches(df.sparkSession)
@@ -90,12 +90,13 @@ def map_batches(df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, lis
                     }
 
         for got in fn(columns()):
-            yield pa.RecordBatch.from_arrays([pa.array(got[k], t) for k, t in out.items()], names=list(out))
+            yield pa.RecordBatch.from_arrays([got[k] if isinstance(got[k], pa.Array) else pa.array(got[k], t) for k, t in out.items()], names=list(out))
 
     return df.mapInArrow(run, schema)
 
 
-SLICE_BYTES = 8 << 20
+#: A worker's working arrays are some twenty times a slice, and an executor has as many workers as cores.
+SLICE_BYTES = 1 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:

@@ -22,6 +22,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ from tessera.llm.common import map_batches, table
 from tessera.llm.units import KEEP_BYTES, encode_texts, gather, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Entries of a worker's tables: units with their ids, words with theirs, and compatible pairs.
-KEEP_UNITS, KEEP_WORDS, KEEP_PAIRS = 250_000, 100_000, 200_000
+#: Entries of a worker's tables: units with their ids, words with theirs, and compatible pairs; about 50 MB.
+KEEP_UNITS, KEEP_WORDS, KEEP_PAIRS = 120_000, 50_000, 100_000
 #: White space as the tokenizers library sees it (the Unicode property).
 _W = r"\p{White_Space}"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _W + r"\p{L}\p{N}]+|" + _W + r"+(?!" + f"[^{_W}])|" + _W + "+")
@@ -192,8 +193,9 @@ def loaded(path: str) -> tuple[Bpe, dict[bytes, bytes], Decimals]:
     return bpe, {}, Decimals(len(bpe.token))
 
 
-def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, decoded from the ids themselves."""
+def encoded(docs: DataFrame, path: str, text: str = "text", ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row, decoded from the ids themselves; ``ids`` adds the array of them."""
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         bpe, known, decimals = loaded(path)
@@ -221,9 +223,9 @@ def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 "n_tokens": np.diff(at),
                 "ids_sha256": [digest(shown[s : max(s, e - 1)]) for s, e in zip(shown_at[:-1], shown_at[1:], strict=True)],
                 "decoded_sha256": [digest(x.decode("utf-8", "replace").encode()) for x in out],
-            }
+            } | ({"ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))} if ids else {})
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", run)
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")), schema, run)
 
 
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
