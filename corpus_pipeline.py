@@ -55,7 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op10_bpe.encoded(docs, public_tokenizers.path(op10_bpe.VOCABULARY))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each row; ``ids`` is what training reads."""
+    return op10_bpe.encoded(docs, public_tokenizers.path(op10_bpe.VOCABULARY), ids=True)
 
 
 STAGES = [
