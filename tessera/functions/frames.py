@@ -6,48 +6,108 @@ import math
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder (``spark.checkpoint.dir``; a temporary one only where it is unset)."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names, set for checkpoints.
+
+    Only a session on one machine may leave it unset and gets a temporary folder; on a cluster that would
+    be a folder executors do not share, so it is an error.
+    """
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
-def numbered(df: DataFrame, key: str, seed: int, name: str = "idx") -> tuple[DataFrame, int]:
-    """``df`` with rows numbered from 0 in the order of a hash of (seed, key), and their count.
+def numbered(df: DataFrame, key: str, seed: int | None = None, name: str = "idx") -> tuple[DataFrame, int]:
+    """``df`` with rows numbered from 0 in the order of ``key``, or of a hash of (seed, key), and their count.
 
-    Ranges of the hash go to partitions of about equal size and are numbered on their own; only one count
-    a partition meets in one place.
+    Ranges of the order go to partitions of about equal size and are numbered there; only one count a
+    partition meets in one place.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), key))
-    placed = cut(hashed.repartitionByRange(parts, "_h", key).withColumn("_part", F.spark_partition_id()))
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    hashed = df.withColumn("_h", F.lit(0).cast("long") if seed is None else F.xxhash64(F.lit(seed), key))
+    ordered = hashed.repartitionByRange(parts, "_h", key).sortWithinPartitions("_h", key)
+    # the number within a partition is the low 33 bits of an increasing id
+    placed = cut(ordered.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("_first"))
     n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    starts = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_start"))
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy("_h", key)) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_inside")).drop("_h", "_part", "_start", "_inside"), n
+    starts = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n") - F.col("_first")).alias("_shift"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_h", "_part", "_at", "_shift"), n
+
+
+#: A prime whose squares fit a long; shuffles are worked out in numbers below it, which any SQL can follow.
+PRIME = (1 << 31) - 1
+HALF_ROUNDS = 6
+
 
+def shuffle_key(perm: int, half: int, which: int, seed: int) -> int:
+    """The keys of one shuffle are numbers below PRIME, scrambled from its own number."""
+    k = ((perm + 1) * 1000003 + (half + 1) * 7919 + (which + 1) * 104729 + seed * 15485863 + 12345) % PRIME
+    for _ in range(3):
+        k = (k * k % PRIME * 48271 + k + 11) % PRIME
+    return k
 
-def shuffled_labels(labels: DataFrame, label: str, n_perm: int, seed: int) -> DataFrame:
-    """(perm, cell_id, label): ``n_perm`` shuffles of a label column over cells.
 
-    Cells are numbered once in a random order; shuffle p gives cell i the label of cell a_p i + b_p modulo
-    their count, a_p without a common divisor. The random order makes each shuffle uniform; an equi join
-    deals the labels, so no shuffle is ever sorted.
+def shuffled(index: np.ndarray, n: int, keys: list[int]) -> np.ndarray:
+    """Where a keyed permutation of 0..n-1 puts each of ``index``.
+
+    A number is cut into a quotient and a rest of about sqrt(n) each; in turn, each has a keyed number of
+    the other added to it (a Feistel network), which permutes the least rectangle that holds n; numbers
+    outside 0..n-1 go through again. No sort and no exchange, and shuffles with different keys have
+    nothing in common.
+    """
+    a = max(1, math.isqrt(n - 1) + 1) if n > 1 else 1
+    b = -(-n // a) if n else 1
+    prime, out = np.uint64(PRIME), index.astype(np.uint64)
+    waiting = np.arange(len(out))
+    while len(waiting):
+        left, right = out[waiting] // np.uint64(b), out[waiting] % np.uint64(b)
+        for half in range(HALF_ROUNDS):
+            v = ((right if half % 2 == 0 else left) + np.uint64(keys[2 * half])) % prime
+            mixed = (v * v % prime * np.uint64(keys[2 * half + 1]) + v) % prime
+            if half % 2 == 0:
+                left = (left + mixed) % np.uint64(a)
+            else:
+                right = (right + mixed) % np.uint64(b)
+        out[waiting] = left * np.uint64(b) + right
+        waiting = waiting[out[waiting] >= n]
+    return out.astype(np.int64)
+
+
+def shuffled_labels(labels: DataFrame, label: str, n_perm: int, seed: int) -> tuple[DataFrame, list]:
+    """((cell_id, codes), names): for each cell an array with its label's place in ``names`` in each of ``n_perm`` shuffles.
+
+    Cells are numbered once. Label counts cut 0..n-1 into one range for each label, and a cell has the label
+    whose range its number is shuffled into; so every shuffle keeps the counts, and cells never move.
     """
-    rows, n = numbered(labels.select("cell_id", F.col(label).alias("label")), "cell_id", seed)
-    rows = cut(rows)
-    random = np.random.default_rng(seed)
-    draws = []
-    for p in range(n_perm if n else 0):
-        a = next(x for x in iter(lambda: int(random.integers(1, min(n, 1 << 27) + 1)), 0) if math.gcd(x, n) == 1)
-        draws.append((p, a, int(random.integers(0, n))))
-    perms = labels.sparkSession.createDataFrame(draws, "perm long, a long, b long")
-    moved = rows.join(F.broadcast(perms)).select("perm", "cell_id", F.pmod(F.col("a") * F.col("idx") + F.col("b"), F.lit(max(n, 1))).alias("at"))
-    return moved.join(rows.select(F.col("idx").alias("at"), "label"), "at").select("perm", "cell_id", "label")
+    counts = labels.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()  # the catalog of labels
+    rows, n = numbered(labels.select("cell_id"), "cell_id")
+    ends, total = [], 0
+    for r in counts:
+        ends.append(total := total + r["n"])
+    keys = [[shuffle_key(p, half, which, seed) for half in range(HALF_ROUNDS) for which in (0, 1)] for p in range(n_perm)]
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            idx = np.asarray(batch.column(1), np.int64)
+            codes = np.stack([np.searchsorted(ends, shuffled(idx, n, k), "right") for k in keys], axis=1) if len(idx) and keys else np.zeros((len(idx), 0))
+            flat = pa.array(codes.ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.arange(len(idx) + 1, dtype=np.int32) * len(keys)), flat)], names=["cell_id", "codes"])
+
+    kind = labels.schema["cell_id"].dataType.simpleString()
+    return rows.select("cell_id", "idx").mapInArrow(deal, f"cell_id {kind}, codes array<int>"), [r["label"] for r in counts]

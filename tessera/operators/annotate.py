@@ -89,18 +89,22 @@ def rank_sum_scores(expr: DataFrame, assignments: DataFrame, gene: str = "gene")
     """(prototype_id, gene, rank_sum, z, mean_in, mean_out): Wilcoxon rank sums of each prototype against the rest.
 
     Ranks run over all cells, zeros included: zeros tie at their common mean rank, negative values come
-    before them. Only present values are ranked, by windows within the gene.
+    before them. Cells are counted by (gene, value, prototype) where they are read; ranks follow from sums of
+    counts over a gene's distinct values, so no task sorts a gene's cells.
     """
     n = F.broadcast(assignments.agg(F.count(F.lit(1)).alias("n")))
     sizes = F.broadcast(assignments.groupBy("prototype_id").agg(F.count(F.lit(1)).alias("m")))
-    present = expr.where("value <> 0").join(assignments, "cell_id").join(n)
+    counted = expr.where("value <> 0").join(assignments, "cell_id").groupBy(gene, "value", "prototype_id").agg(F.count(F.lit(1)).alias("c"))
+    values = counted.groupBy(gene, "value").agg(F.sum("c").alias("t"))
     g = Window.partitionBy(gene)
-    nonzero, below = F.count(F.lit(1)).over(g), F.count_if(F.col("value") < 0).over(g)
-    zeros = F.col("n") - nonzero
-    position = F.rank().over(g.orderBy("value")) + (F.count(F.lit(1)).over(Window.partitionBy(gene, "value")) - 1) / 2
-    ranked = present.select(gene, "prototype_id", "value", "n", zeros.alias("zeros"), (below + (zeros + 1) / 2).alias("zero_rank"), (position + F.when(F.col("value") > 0, zeros).otherwise(0)).alias("r"))
-    sums = ranked.groupBy("prototype_id", gene).agg(F.sum("r").alias("r"), F.count(F.lit(1)).alias("k"), F.sum("value").alias("total"))
-    genes = ranked.groupBy(gene).agg(F.first("n").alias("n"), F.first("zero_rank").alias("zero_rank"), F.sum("value").alias("all_total"))
+    up = F.coalesce(F.sum("t").over(g.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below, nonzero = F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("t"))).over(g), F.lit(0)), F.sum("t").over(g)
+    placed = values.select(gene, "value", (up + (F.col("t") + 1) / 2).alias("position"), below.alias("below"), nonzero.alias("nonzero")).join(n)
+    zeros = F.col("n") - F.col("nonzero")
+    placed = placed.select(gene, "value", "n", (F.col("below") + (zeros + 1) / 2).alias("zero_rank"), (F.col("position") + F.when(F.col("value") > 0, zeros).otherwise(0)).alias("r"))
+    ranked = counted.join(placed, [gene, "value"])
+    sums = ranked.groupBy("prototype_id", gene).agg(F.sum(F.col("r") * F.col("c")).alias("r"), F.sum("c").alias("k"), F.sum(F.col("value") * F.col("c")).alias("total"))
+    genes = ranked.groupBy(gene).agg(F.first("n").alias("n"), F.first("zero_rank").alias("zero_rank"), F.sum(F.col("value") * F.col("c")).alias("all_total"))
     grid = genes.join(sizes)  # genes times prototypes: the result's own size
     met = grid.join(sums, ["prototype_id", gene], "left").na.fill(0, ["r", "k", "total"])
     rank_sum = F.col("r") + (F.col("m") - F.col("k")) * F.col("zero_rank")

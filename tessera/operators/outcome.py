@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import cut
 from tessera.functions.special import mann_whitney_two_sided, student_two_sided
 from tessera.operators.prototypes import abundance, clr
 
@@ -20,13 +23,30 @@ def average_rank(value: str, *groups: str) -> Column:
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p", key: str = "id", group: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with ``q``: adjusted p-values in [0, 1], ties by ``key``; within ``group`` if given."""
-    order = Window.partitionBy(*group).orderBy(F.asc(p), F.asc(key))
-    n = F.count(F.lit(1)).over(Window.partitionBy(*group))
-    raw = df.withColumn("_raw", F.col(p) * n / F.row_number().over(order))
-    down = Window.partitionBy(*group).orderBy(F.desc(p), F.desc(key)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.min("_raw").over(down)))
-    return raw.withColumn("q", q).drop("_raw")
+    """``df`` with ``q``: adjusted p-values in [0, 1], ties by ``key``; within ``group`` if given.
+
+    Rows are sorted by ranges of (group, p, key); ranks and least values go on from partition to partition
+    through one row for each of them and group, so a table without groups is no single task either.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(c) for c in (*group, p, key)]
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = cut(ordered).withColumn("_part", F.shiftright("_at", 33))
+    sizes = placed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("_before", before - F.col("_first")).withColumn("_m", F.sum("_n").over(whole)).drop("_n", "_first")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*group, "_part")]
+    # a row a partition and group: bounded only without groups
+    small = (lambda rows: rows) if group else F.broadcast
+    met = placed.alias("r").join(small(starts).alias("s"), reduce(and_, same)).select("r.*", "_before", "_m")
+    raw = met.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_at") + F.col("_before") + 1)).drop("_before", "_m")
+    least = raw.groupBy(*group, "_part").agg(F.min("_raw").alias("_least"))
+    later = least.withColumn("_later", F.min("_least").over(whole.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1))).drop("_least")
+    down = Window.partitionBy(*group, "_part").orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = raw.withColumn("_down", F.min("_raw").over(down)).alias("r").join(small(later).alias("s"), reduce(and_, same)).select("r.*", "_later")
+    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.least("_down", "_later")))
+    return within.withColumn("q", q).drop("_at", "_part", "_raw", "_down", "_later")
 
 
 def rank_sums(table: DataFrame, value: str = "value", group: str = "group") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import cut, shuffled_labels
-from tessera.operators.graph import symmetrised, with_ends
+from tessera.operators.graph import with_ends
 from tessera.schema import SchemaError, edges_out_of_range
 
 
@@ -53,26 +53,32 @@ def neighbour_agreement_by_section(labels: DataFrame, edges: DataFrame, column:
 
 def colocation_counts(labels: DataFrame, edges: DataFrame, column: str = "cell_type") -> DataFrame:
     """(a, b, n): edges between types, each counted in both directions (within a type: twice)."""
-    ends = with_ends(symmetrised(edges), labels, column)
-    return ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    one = with_ends(edges.select("src", "dst"), labels, column).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    both = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    return both.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
-def colocation_enrichment(labels: DataFrame, edges: DataFrame, n_perm: int = 100, seed: int = 0, column: str = "cell_type") -> DataFrame:
+def colocation_enrichment(labels: DataFrame, edges: DataFrame, n_perm: int = 200, seed: int = 0, column: str = "cell_type") -> DataFrame:
     """(a, b, observed, null_mean, null_sd, z) against ``n_perm`` shuffles of the labels over cells.
 
-    See ``shuffled_labels`` for the shuffles. z is 0 where the null does not vary.
+    See ``shuffled_labels`` for the shuffles. A cell carries its labels of all shuffles as one array, so
+    edges meet cells twice in all; they are counted by shuffle and pair of types where they are read. z is
+    0 where the null does not vary.
     """
-    ids = labels.select("cell_id", F.col(column).alias("label"))
-    shuffled = cut(shuffled_labels(labels, column, n_perm, seed))
-    both = symmetrised(edges)
-    a = shuffled.select("perm", F.col("cell_id").alias("src"), F.col("label").alias("a"))
-    b = shuffled.select("perm", F.col("cell_id").alias("dst"), F.col("label").alias("b"))
-    drawn = both.join(a, "src").join(b, ["perm", "dst"]).groupBy("perm", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    types = ids.select("label").distinct()
-    pairs = types.select(F.col("label").alias("a")).join(types.select(F.col("label").alias("b")))  # types only
-    n, n2 = F.sum("n") / n_perm, F.sum(F.col("n") * F.col("n")) / n_perm
-    null = drawn.groupBy("a", "b").agg(n.alias("null_mean"), F.sqrt(F.greatest(F.lit(0.0), n2 - n * n)).alias("null_sd"))
-    joined = pairs.join(colocation_counts(labels, edges, column), ["a", "b"], "left").join(null, ["a", "b"], "left").na.fill(0)
+    coded, names = shuffled_labels(labels, column, n_perm, seed)
+    ends = with_ends(edges.select("src", "dst"), cut(coded), "codes")
+    pair = F.zip_with("a", "b", lambda x, y: x * len(names) + y)
+    each = ends.select(F.posexplode(pair).alias("perm", "pair")).groupBy("perm", "pair").agg(F.count(F.lit(1)).alias("n"))
+    kind = labels.schema[column].dataType.simpleString()
+    types = labels.sparkSession.createDataFrame(list(enumerate(names)), f"code int, label {kind}")
+    pairs = types.select(F.col("code").alias("ca"), F.col("label").alias("a")).join(types.select(F.col("code").alias("cb"), F.col("label").alias("b")))  # types only
+    one, two = F.floor(F.col("pair") / max(len(names), 1)).cast("int"), (F.col("pair") % max(len(names), 1)).cast("int")
+    # an edge counts in both directions
+    sides = each.select("perm", one.alias("ca"), two.alias("cb"), "n").unionByName(each.select("perm", two.alias("ca"), one.alias("cb"), "n"))
+    drawn = sides.groupBy("perm", "ca", "cb").agg(F.sum("n").alias("n"))
+    mean, square = F.sum("n") / n_perm, F.sum(F.col("n") * F.col("n")) / n_perm
+    null = drawn.groupBy("ca", "cb").agg(mean.alias("null_mean"), F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)).alias("null_sd"))
+    joined = pairs.join(null, ["ca", "cb"], "left").join(colocation_counts(labels, edges, column), ["a", "b"], "left").na.fill(0)
     z = F.when(F.col("null_sd") > 0, (F.col("n") - F.col("null_mean")) / F.col("null_sd")).otherwise(0.0)
     return joined.select("a", "b", F.col("n").alias("observed"), "null_mean", "null_sd", z.alias("z"))
 

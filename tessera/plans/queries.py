@@ -12,7 +12,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.frames import cut
+from tessera.functions.frames import HALF_ROUNDS, PRIME, cut
 from tessera.operators import agreement, annotate, cluster, communication, encoder, features, graph, model, outcome, prototypes, spatial
 from tessera.plans import report, runs
 from tessera.schema import edges_out_of_range
@@ -85,7 +85,11 @@ def knn_edges_grid(spark, sf):
     return rounded(edges_ev(spark, sf), "dist")
 
 
-@query()
+# a triangle belongs to the triangulation if no other cell lies within its circle
+CIRCLES = ", p AS (SELECT section_id AS s, cell_id AS i, x, y, x * x + y * y AS w FROM cells_emb), tri AS (SELECT a.s, a.i AS ai, b.i AS bi, c.i AS ci, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by, c.x AS cx, c.y AS cy, 2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d, a.w * (b.y - c.y) + b.w * (c.y - a.y) + c.w * (a.y - b.y) AS ux, a.w * (c.x - b.x) + b.w * (a.x - c.x) + c.w * (b.x - a.x) AS uy FROM p a JOIN p b ON a.s = b.s AND a.i < b.i JOIN p c ON c.s = b.s AND b.i < c.i), circles AS (SELECT *, ux / d AS ox, uy / d AS oy, (ax - ux / d) * (ax - ux / d) + (ay - uy / d) * (ay - uy / d) AS r2 FROM tri WHERE d <> 0), empty AS (SELECT c.* FROM circles c LEFT JOIN p q ON q.s = c.s AND q.i NOT IN (c.ai, c.bi, c.ci) AND (q.x - ox) * (q.x - ox) + (q.y - oy) * (q.y - oy) < r2 * (1 - 1e-12) WHERE q.i IS NULL), sides AS (SELECT s, ai AS u, bi AS v FROM empty UNION SELECT s, ai, ci FROM empty UNION SELECT s, bi, ci FROM empty), ways AS (SELECT * FROM sides UNION SELECT s, v, u FROM sides)"
+
+
+@query(with_views("cells_emb", CIRCLES + f" SELECT ways.s AS section_id, u AS src, v AS dst, {r9('sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))', 'dist')} FROM ways JOIN p a ON a.i = u JOIN p b ON b.i = v"))
 def delaunay_edges(spark, sf):
     return graph.delaunay_graph(views.cells_emb(spark, sf), check=False).select("section_id", "src", "dst", nine("dist").alias("dist"))
 
@@ -172,6 +176,29 @@ def per_niche_morans_i(spark, sf):
     return rounded(spatial.per_prototype_morans_i(views.proto_emb(spark, sf), edges_emb(spark, sf)), "morans_i")
 
 
+def _shuffles_sql(view: str, label: str, n_perm: int, seed: int = 0, walks: int = 4) -> str:
+    """``drawn`` (perm, cell_id, label): the shuffles of ``shuffled_labels``, step by step."""
+    halves = [(h, w) for h in range(HALF_ROUNDS) for w in (0, 1)]
+    first = ", ".join(f"((p + 1) * 1000003 + {(h + 1) * 7919 + (w + 1) * 104729 + seed * 15485863 + 12345}) % {PRIME} AS k{2 * h + w}" for h, w in halves)
+    again = ", ".join(f"(k{k} * k{k} % {PRIME} * 48271 + k{k} + 11) % {PRIME} AS k{k}" for k in range(2 * HALF_ROUNDS))
+    out = f", k0 AS (SELECT p AS perm, {first} FROM (SELECT unnest(range({n_perm})) AS p)), k1 AS (SELECT perm, {again} FROM k0), k2 AS (SELECT perm, {again} FROM k1), keys AS (SELECT perm, {again} FROM k2)"
+    out += f", size AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT n, CAST(ceil(sqrt(n)) AS BIGINT) AS a FROM (SELECT count(*) AS n FROM {view})))"
+    out += f", walk0 AS (SELECT perm, cell_id, idx AS y FROM (SELECT cell_id, row_number() OVER (ORDER BY cell_id) - 1 AS idx FROM {view}), keys)"
+    for w in range(1, walks + 1):
+        outside = "" if w == 1 else f" WHERE y >= n"
+        out += f", w{w}h0 AS (SELECT perm, cell_id, y // b AS l, y % b AS r FROM walk{w - 1}, size{outside})"
+        for h in range(HALF_ROUNDS):
+            own, other, room = ("l", "r", "a") if h % 2 == 0 else ("r", "l", "b")
+            v = f"(({other} + k{2 * h}) % {PRIME})"
+            mixed = f"({own} + ({v} * {v} % {PRIME} * k{2 * h + 1} + {v}) % {PRIME}) % {room} AS {own}"
+            kept = f"{other}"
+            out += f", w{w}h{h + 1} AS (SELECT perm, cell_id, {mixed}, {kept} FROM w{w}h{h} JOIN keys USING (perm), size)"
+        out += f", walk{w} AS (SELECT perm, cell_id, l * b + r AS y FROM w{w}h{HALF_ROUNDS}, size)"
+    every = " UNION ALL ".join(f"SELECT perm, cell_id, y FROM walk{w}, size WHERE y < n" for w in range(1, walks + 1))
+    out += f", ranges AS (SELECT label, CAST(sum(c) OVER (ORDER BY label) - c AS BIGINT) AS low, CAST(sum(c) OVER (ORDER BY label) AS BIGINT) AS high FROM (SELECT {label} AS label, count(*) AS c FROM {view} GROUP BY 1))"
+    return out + f", drawn AS MATERIALIZED (SELECT perm, cell_id, label FROM ({every}) JOIN ranges ON y >= low AND y < high)"
+
+
 COLOC = " SELECT a.cell_type AS a, b.cell_type AS b, count(*) AS n FROM (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges) JOIN cells_ev a ON a.cell_id = src JOIN cells_ev b ON b.cell_id = dst GROUP BY 1, 2"
 
 
@@ -180,9 +207,13 @@ def coloc_observed(spark, sf):
     return spatial.colocation_counts(views.cells_ev(spark, sf), edges_ev(spark, sf))
 
 
-@query()
+PERMS = 200
+
+
+@query(EV + _shuffles_sql("cells_ev", "cell_type", PERMS) + f", observed AS ({COLOC}), one AS (SELECT a.perm AS perm, a.label AS a, b.label AS b, count(*) AS n FROM edges JOIN drawn a ON a.cell_id = src JOIN drawn b ON b.cell_id = dst AND a.perm = b.perm GROUP BY 1, 2, 3), twice AS (SELECT perm, a, b, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM one UNION ALL SELECT perm, b, a, n FROM one) GROUP BY 1, 2, 3), null_ AS (SELECT a, b, sum(n) / {PERMS} AS m, sqrt(greatest(0, sum(n * n) / {PERMS} - sum(n) / {PERMS} * (sum(n) / {PERMS}))) AS sd FROM twice GROUP BY 1, 2), types AS (SELECT DISTINCT cell_type AS t FROM cells_ev)"
+    f" SELECT x.t AS a, y.t AS b, coalesce(n, 0) AS observed, {r9('coalesce(m, 0)', 'null_mean')}, {r9('coalesce(sd, 0)', 'null_sd')}, {r9('CASE WHEN sd > 0 THEN (coalesce(n, 0) - m) / sd ELSE 0 END', 'z')} FROM types x CROSS JOIN types y LEFT JOIN observed o ON o.a = x.t AND o.b = y.t LEFT JOIN null_ u ON u.a = x.t AND u.b = y.t")
 def coloc_zscore(spark, sf):
-    return rounded(spatial.colocation_enrichment(views.cells_ev(spark, sf), cut(edges_ev(spark, sf)), 20), "null_mean", "null_sd", "z")
+    return rounded(spatial.colocation_enrichment(views.cells_ev(spark, sf), cut(edges_ev(spark, sf)), PERMS), "null_mean", "null_sd", "z")
 
 
 CCC = with_views("cells_emb proto_emb features_emb", _knn_sql("cells_emb") + ENDS)
@@ -258,52 +289,94 @@ def contingency(spark, sf):
     return agreement.contingency(views.labelings(spark, sf))
 
 
-@query(with_views("labelings", SUMS + ", pairs AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM joint) AS j, (SELECT sum(a * (a - 1) / 2) FROM rs) AS r, (SELECT sum(b * (b - 1) / 2) FROM cs) AS c, n * (n - 1) / 2 AS e, n FROM tot)"
+PAIRED = ", pairs AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM joint) AS j, (SELECT sum(a * (a - 1) / 2) FROM rs) AS r, (SELECT sum(b * (b - 1) / 2) FROM cs) AS c, n * (n - 1) / 2 AS e, n FROM tot)"
+
+
+def _assigned_sql(joint: str = "joint", rows: str = "p", columns: str = "t") -> str:
+    """``matched`` (p, t, n): of all ways to give each of the fewer ``rows`` a partner the best, and of those the first."""
+    out = f", ar AS (SELECT {rows}, row_number() OVER (ORDER BY {rows}) - 1 AS r FROM (SELECT DISTINCT {rows} FROM {joint})), ac AS (SELECT {columns}, row_number() OVER (ORDER BY {columns}) - 1 AS c FROM (SELECT DISTINCT {columns} FROM {joint}))"
+    out += f", grid AS (SELECT r, c, {rows}, {columns}, CAST(coalesce(n, 0) AS BIGINT) AS n FROM ar CROSS JOIN ac LEFT JOIN {joint} USING ({rows}, {columns}))"
+    out += ", way AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS total, CAST([] AS BIGINT[]) AS path UNION ALL SELECT k + 1, used | (CAST(1 AS BIGINT) << c), total + n, list_append(path, c) FROM way JOIN grid ON r = k AND (used & (CAST(1 AS BIGINT) << c)) = 0)"
+    return out + ", best AS (SELECT path FROM way WHERE k = (SELECT count(*) FROM ar) ORDER BY total DESC, path LIMIT 1), matched AS (SELECT p, t, n FROM grid, best WHERE path[r + 1] = c)"
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+TWO = "cells_emb proto_emb"
+TWO_SQL = ", labelings AS (SELECT cell_id, prototype_id AS pred, section_id AS true_label FROM proto_emb)" + SUMS + _assigned_sql()
+
+
+@query(with_views("labelings", SUMS + PAIRED +
     f" SELECT CAST(n AS BIGINT) AS n, {r9('(j - r * c / e) / ((r + c) / 2 - r * c / e)', 'ari')}, {r9('2 * mi / (hp + ht)', 'nmi')}, {r9('mi / ht', 'homogeneity')}, {r9('mi / hp', 'completeness')}, {r9('2 * mi / ht * mi / hp / (mi / ht + mi / hp)', 'v_measure')} FROM pairs, ent"))
 def agreement_scores(spark, sf):
     return rounded(agreement.agreement(views.labelings(spark, sf)), "ari", "nmi", "homogeneity", "completeness", "v_measure")
 
 
-@query(with_views("labelings", SUMS + ", lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS l FROM (SELECT unnest(range(0, 1 + CAST((SELECT n FROM tot) AS BIGINT))) AS i)), k AS (SELECT a, b, n, unnest(range(CAST(greatest(1, a + b - n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS k FROM rs, cs, tot)"
-    ", emi AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(fa.l + fb.l + fna.l + fnb.l - fn.l - fk.l - fak.l - fbk.l - fr.l)) AS e FROM k JOIN lf fa ON fa.i = a JOIN lf fb ON fb.i = b JOIN lf fna ON fna.i = n - a JOIN lf fnb ON fnb.i = n - b JOIN lf fn ON fn.i = n JOIN lf fk ON fk.i = k JOIN lf fak ON fak.i = a - k JOIN lf fbk ON fbk.i = b - k JOIN lf fr ON fr.i = n - a - b + k)"
+EMI = ", lf AS (SELECT i, sum(ln(greatest(i, 1))) OVER (ORDER BY i) AS l FROM (SELECT unnest(range(0, 1 + CAST((SELECT n FROM tot) AS BIGINT))) AS i)), k AS (SELECT a, b, n, unnest(range(CAST(greatest(1, a + b - n) AS BIGINT), CAST(least(a, b) AS BIGINT) + 1)) AS k FROM rs, cs, tot), emi AS (SELECT sum(k / n * ln(n * k / (a * b)) * exp(fa.l + fb.l + fna.l + fnb.l - fn.l - fk.l - fak.l - fbk.l - fr.l)) AS e FROM k JOIN lf fa ON fa.i = a JOIN lf fb ON fb.i = b JOIN lf fna ON fna.i = n - a JOIN lf fnb ON fnb.i = n - b JOIN lf fn ON fn.i = n JOIN lf fk ON fk.i = k JOIN lf fak ON fak.i = a - k JOIN lf fbk ON fbk.i = b - k JOIN lf fr ON fr.i = n - a - b + k)"
+
+
+@query(with_views("labelings", SUMS + EMI +
     " SELECT round((mi - e) / (greatest(hp, ht) - e), 7) + 0.0 AS ami FROM ent, emi"))
 def ami(spark, sf):
     table = agreement.table_of(views.labelings(spark, sf))
     return spark.createDataFrame([(round(agreement.adjusted_mutual_information_value(table.counts), 7) + 0.0,)], "ami double")
 
 
-@query()
+@query(_recursive(with_views("labelings", SUMS + _assigned_sql(rows="t", columns="p") + f" SELECT {r9('avg(coalesce(2.0e0 * n / (a + b), 0))', 'macro_f1')} FROM cs LEFT JOIN matched USING (t) LEFT JOIN rs USING (p)")))
 def macro_f1(spark, sf):
     table = agreement.table_of(views.labelings(spark, sf))
-    return spark.createDataFrame([(agreement.macro_f1_value(table.counts),)], "macro_f1 double")
+    return rounded(spark.createDataFrame([(agreement.macro_f1_value(table.counts),)], "macro_f1 double"), "macro_f1")
 
 
 def _two_labelings(spark, sf):
     return views.proto_emb(spark, sf).select("cell_id", F.col("prototype_id").alias("pred"), F.col("section_id").alias("true_label"))
 
 
-@query()
+@query(_recursive(with_views(TWO, TWO_SQL + " SELECT p AS proto_a, t AS proto_b, n AS overlap FROM matched")))
 def prototype_matching(spark, sf):
     return agreement.matching(_two_labelings(spark, sf), "pred", "true_label")
 
 
-@query()
+@query(_recursive(with_views(TWO, TWO_SQL + " SELECT cell_id, pred, true_label, t AS matched FROM labelings JOIN matched ON p = pred")))
 def matched_labels(spark, sf):
     return agreement.relabelled(_two_labelings(spark, sf), "pred", "true_label", 10)
 
 
-@query()
+@query(_recursive(with_views(TWO, TWO_SQL + f", known AS (SELECT prototype_id AS p, count(DISTINCT section_id) >= ceil(0.9e0 * max(s)) AS kept FROM proto_emb, (SELECT count(DISTINCT section_id) AS s FROM proto_emb) GROUP BY 1) SELECT {r9('avg(CAST(kept = (t < 7) AS INTEGER))', 'accuracy')} FROM matched JOIN known USING (p) WHERE n > 0 AND t < 10")))
 def proto_kind_accuracy(spark, sf):
     both = _two_labelings(spark, sf)
     kinds = prototypes.separation(views.proto_emb(spark, sf), 0.9)
     truth = spark.range(10).select(F.col("id").alias("prototype_id"), F.when(F.col("id") < 7, "conserved").otherwise("sample_specific").alias("proto_kind"))
-    return spark.createDataFrame([(agreement.proto_kind_accuracy(both, kinds, truth),)], "accuracy double")
+    return rounded(spark.createDataFrame([(agreement.proto_kind_accuracy(both, kinds, truth),)], "accuracy double"), "accuracy")
 
 
-@query()
+@query(_recursive(with_views(TWO, TWO_SQL + PAIRED + EMI + ", f AS (SELECT sum(coalesce(2.0e0 * m.n / (a + b), 0)) AS f FROM cs LEFT JOIN matched m USING (t) LEFT JOIN rs USING (p)), c AS (SELECT (SELECT count(*) FROM cs) + (SELECT count(*) FROM rs) - (SELECT count(*) FROM matched) AS classes, (SELECT sum(n) FROM matched) AS hits)"
+    f" SELECT {r9('(j - r * q.c / q.e) / ((r + q.c) / 2 - r * q.c / q.e)', 'domain_ari')}, {r9('2 * mi / (hp + ht)', 'domain_nmi')}, round((mi - emi.e) / ((hp + ht) / 2 - emi.e), 7) + 0.0 AS domain_ami, {r9('mi / ht', 'domain_homogeneity')}, {r9('f / classes', 'domain_macro_f1')}, {r9('hits / q.n', 'domain_accuracy')} FROM pairs q, ent, emi, f, c AS m")))
 def clustering_agreement(spark, sf):
     got = agreement.clustering_agreement(_two_labelings(spark, sf), "pred", "true_label")
-    return spark.createDataFrame([tuple(float(v) for v in got.values())], ", ".join(f"{k} double" for k in got))
+    row = spark.createDataFrame([tuple(float(v) for v in got.values())], ", ".join(f"{k} double" for k in got))
+    return rounded(row.withColumn("domain_ami", F.round("domain_ami", 7)), *got)
+
+
+MANY = ", l AS (SELECT cell_id, 'argmax' AS labeling, prototype_id AS label FROM proto_emb UNION ALL SELECT cell_id, 'section', section_id FROM proto_emb UNION ALL SELECT cell_id, 'thirds', prototype_id % 3 FROM proto_emb), j AS (SELECT x.labeling AS a, y.labeling AS b, x.label AS p, y.label AS t, count(*) AS n FROM l x JOIN l y USING (cell_id) GROUP BY 1, 2, 3, 4), js AS (SELECT a, b, sum(n * (n - 1) / 2) AS j, sum(n) AS n FROM j GROUP BY 1, 2), jp AS (SELECT a, b, sum(k * (k - 1) / 2) AS r FROM (SELECT a, b, p, sum(n) AS k FROM j GROUP BY 1, 2, 3) GROUP BY 1, 2), jt AS (SELECT a, b, sum(k * (k - 1) / 2) AS c FROM (SELECT a, b, t, sum(n) AS k FROM j GROUP BY 1, 2, 3) GROUP BY 1, 2), ari AS (SELECT a, b, (j - r * c / (n * (n - 1) / 2)) / ((r + c) / 2 - r * c / (n * (n - 1) / 2)) AS ari FROM js JOIN jp USING (a, b) JOIN jt USING (a, b))"
+
+
+def _many(spark, sf):
+    protos = views.proto_emb(spark, sf)
+    rows = [protos.select("cell_id", F.lit(name).alias("labeling"), label.alias("label")) for name, label in (("argmax", F.col("prototype_id")), ("section", F.col("section_id")), ("thirds", F.col("prototype_id") % 3))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(with_views("proto_emb", MANY + f" SELECT a, b, {r9('ari', 'ari')} FROM ari"))
+def pairwise_ari(spark, sf):
+    return rounded(agreement.pairwise_ari(_many(spark, sf)), "ari")
+
+
+@query(with_views("proto_emb", MANY + f" SELECT {r9('avg(ari)', 'mean_ari')}, {r9('stddev_pop(ari)', 'sd_ari')}, {r9('min(ari)', 'min_ari')}, count(*) AS n_pairs FROM ari WHERE a < b"))
+def labeling_stability(spark, sf):
+    return rounded(agreement.seed_stability(agreement.pairwise_ari(_many(spark, sf))), "mean_ari", "sd_ari", "min_ari")
 
 
 @query()
@@ -393,12 +466,17 @@ def marker_table(spark, sf):
     return rounded(prototypes.marker_table(cut(views.expr(spark, sf)), views.expr_protos(spark, sf), 5), "mean_value")
 
 
-@query()
+def _top5_sql(name: str, value: str) -> str:
+    body = MARKERS.replace("e.value", f"{value}") if value != "e.value" else MARKERS
+    return body.replace("sizes AS", f"sizes_{name} AS").replace("genes AS", f"genes_{name} AS").replace("means AS", f"means_{name} AS").replace("FROM sizes s CROSS JOIN genes g", f"FROM sizes_{name} s CROSS JOIN genes_{name} g") + f", {name} AS (SELECT prototype_id, gene FROM (SELECT *, row_number() OVER (PARTITION BY prototype_id ORDER BY mean_value DESC, gene) AS rank FROM means_{name}) WHERE rank <= 5)"
+
+
+@query(with_views("expr expr_protos", _top5_sql("truth", "e.value") + _top5_sql("found", "sqrt(e.value)") + f", hits AS (SELECT prototype_id, count(f.gene) / count(*) AS r FROM truth LEFT JOIN found f USING (prototype_id, gene) GROUP BY 1) SELECT {r9('avg(r)', 'recall')} FROM hits"))
 def marker_recall(spark, sf):
     expr, protos = cut(views.expr(spark, sf)), views.expr_protos(spark, sf)
     truth = prototypes.marker_table(expr, protos, 5)
     pred = prototypes.marker_table(expr.withColumn("value", F.sqrt("value")), protos, 5)
-    return spark.createDataFrame([(prototypes.marker_recall(pred, truth, 5),)], "recall double")
+    return rounded(spark.createDataFrame([(prototypes.marker_recall(pred, truth, 5),)], "recall double"), "recall")
 
 
 @query(with_views("sample_cells outcomes", CLR + ", met AS (SELECT prototype_id, clr, \"binary\" AS g FROM clr JOIN outcomes USING (sample_id)), r AS (SELECT prototype_id, g, rank() OVER (PARTITION BY prototype_id ORDER BY clr) + (count(*) OVER (PARTITION BY prototype_id, clr) - 1) / 2 AS r FROM met), u AS (SELECT prototype_id, sum(r) FILTER (g = 1) AS r1, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0 FROM r GROUP BY 1)"
@@ -417,7 +495,30 @@ def spearman_rho(spark, sf):
     return rounded(outcome.spearman(met), "rho")
 
 
-@query()
+def _integral_sql(density: str, upto: str, steps: int = 400) -> str:
+    """Simpson's rule for the integral of ``density`` (in X) from 0 to ``upto``."""
+    at = density.replace("X", f"({upto} * i / {steps})")
+    return f"({upto} / {3 * steps} * list_sum(list_transform(range(0, {steps + 1}), lambda i: CASE WHEN i = 0 OR i = {steps} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * {at})))"
+
+
+def _normal_sql(z: str) -> str:
+    """Two-sided p of a normal z."""
+    return f"greatest(0, 1 - 2 * {_integral_sql('exp(-X * X / 2) / sqrt(2 * pi())', z)})"
+
+
+def _fdr_sql(table: str, by: str, key: str) -> str:
+    """``adjusted``: ``table`` with q within ``by``."""
+    return f", raw_ AS (SELECT *, p * count(*) OVER (PARTITION BY {by}) / row_number() OVER (PARTITION BY {by} ORDER BY p, {key}) AS raw FROM {table}), adjusted AS (SELECT *, least(1, min(raw) OVER (PARTITION BY {by} ORDER BY p DESC, {key} DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM raw_)"
+
+
+MEAN_RANK = "rank() OVER (PARTITION BY prototype_id ORDER BY {0}) + (count(*) OVER (PARTITION BY prototype_id, {0}) - 1) / 2"
+OUTCOME = CLR + f", met AS (SELECT prototype_id, clr, \"binary\" AS g, continuous FROM clr JOIN outcomes USING (sample_id)), ranked AS (SELECT prototype_id, g, {MEAN_RANK.format('clr')} AS r, {MEAN_RANK.format('continuous')} AS o, count(*) OVER (PARTITION BY prototype_id, clr) AS t FROM met)"
+OUTCOME += ", u AS (SELECT prototype_id, sum(r) FILTER (g = 1) - count(*) FILTER (g = 1) * (count(*) FILTER (g = 1) + 1) / 2 AS u, count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM ranked GROUP BY 1), z AS (SELECT prototype_id, u, 2 * u / (n1 * n0) - 1 AS effect, (greatest(u, n1 * n0 - u) - n1 * n0 / 2 - 0.5) / sqrt(n1 * n0 / 12 * (n1 + n0 + 1 - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM u)"
+OUTCOME += ", rho AS (SELECT prototype_id, corr(r, o) AS rho, count(*) - 2 AS df FROM ranked GROUP BY 1), t AS (SELECT *, abs(rho) * sqrt(df / (1 - rho * rho)) AS t, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS front FROM rho)"
+OUTCOME += f", tested AS (SELECT 'binary' AS kind, prototype_id, u AS statistic, effect, CASE WHEN z <= 0 THEN 1 ELSE {_normal_sql('z')} END AS p FROM z UNION ALL SELECT 'continuous', prototype_id, rho, rho, 1 - 2 * {_integral_sql('front * pow(1 + X * X / df, -(df + 1) / 2)', 't')} FROM t)" + _fdr_sql("tested", "kind", "prototype_id")
+
+
+@query(with_views("sample_cells outcomes", OUTCOME + f" SELECT kind, prototype_id, {', '.join(r9(c, c) for c in ('statistic', 'effect', 'p', 'q'))} FROM adjusted"))
 def outcome_association(spark, sf):
     table = prototypes.abundance(views.sample_cells(spark, sf))
     out = None
@@ -425,7 +526,7 @@ def outcome_association(spark, sf):
         labels = views.outcomes(spark, sf).select("sample_id", F.col(kind).cast("double").alias("outcome"))
         rows = outcome.outcome_association(table, labels, label_kind=kind).records.withColumn("kind", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
-    return out
+    return rounded(out, "statistic", "effect", "p", "q")
 
 
 @query(with_views("sample_cells", ", p AS (SELECT cell_id, sample_id AS g, ((cell_id * 7919) % 100003 + 1) / 100004.0e0 AS p FROM sample_cells), r AS (SELECT *, p * count(*) OVER (PARTITION BY g) / row_number() OVER (PARTITION BY g ORDER BY p, cell_id) AS raw FROM p)"
@@ -468,7 +569,7 @@ def gene_moments(spark, sf):
     return rounded(features.gene_moments(views.expr(spark, sf), _expr_cells(spark, sf)), "mean", "sd")
 
 
-@query(with_views("expr", MOMENTS + f" SELECT cell_id, gene, value, {r9('(value - mean) / sd', 'z')} FROM expr JOIN m USING (gene)"))
+@query(with_views("expr", MOMENTS + f" SELECT cell_id, gene, value, {r9('(value - mean) / sd', 'z')} FROM expr JOIN m USING (gene)").replace(" expr AS (", " expr AS MATERIALIZED (").replace(" m AS (", " m AS MATERIALIZED ("))
 def zscore(spark, sf):
     return rounded(features.zscores(cut(views.expr(spark, sf)), _expr_cells(spark, sf)), "z")
 
@@ -528,9 +629,10 @@ def ligrec_scores(spark, sf):
     return rounded(communication.interaction_scores(communication.cluster_means(cut(views.expr(spark, sf)), _clusters(spark, sf)), _pairs(spark)), "score")
 
 
-@query()
+@query(with_views("expr expr_protos", LIGREC + _shuffles_sql("cl", "cluster", 100) + ", wanted AS (SELECT ligand AS gene FROM pairs UNION SELECT receptor FROM pairs), dm AS (SELECT perm, label AS cluster, gene, sum(value) / max(c) AS mean FROM drawn JOIN expr USING (cell_id) JOIN wanted USING (gene) JOIN sz ON sz.cluster = label GROUP BY 1, 2, 3), nulls AS (SELECT s.ligand, s.receptor, s.source, s.target, s.score, (coalesce(l.mean, 0) + coalesce(r.mean, 0)) / 2 AS x FROM scores s CROSS JOIN keys k LEFT JOIN dm l ON l.perm = k.perm AND l.gene = ligand AND l.cluster = source LEFT JOIN dm r ON r.perm = k.perm AND r.gene = receptor AND r.cluster = target)"
+    f" SELECT ligand, receptor, source, target, {r9('max(score)', 'score')}, count(*) FILTER (round(x, 9) >= round(score, 9)) / 100 AS pvalue FROM nulls GROUP BY 1, 2, 3, 4"))
 def interaction_summary(spark, sf):
-    return rounded(communication.interaction_summary(cut(views.expr(spark, sf)), cut(_clusters(spark, sf)), _pairs(spark), n_perms=20), "score")
+    return rounded(communication.interaction_summary(cut(views.expr(spark, sf)), cut(_clusters(spark, sf)), _pairs(spark)), "score")
 
 
 @query(with_views("expr expr_protos", LIGREC + f" SELECT ligand, receptor, source, target, {r9('score', 'score')}, {r9('score / 100', 'pvalue')} FROM scores"))
@@ -558,9 +660,14 @@ def de_rank_sums(spark, sf):
     return rounded(annotate.rank_sum_scores(cut(views.expr(spark, sf)), cut(views.expr_protos(spark, sf))), "z", "mean_in", "mean_out")
 
 
-@query()
+DE = ", totals AS (SELECT cell_id, sum(value) AS t FROM expr GROUP BY 1), logged AS (SELECT cell_id, gene, ln(1 + value * 10000.0e0 / t) AS value FROM expr JOIN totals USING (cell_id)), d AS (SELECT p.cell_id, p.prototype_id, g.gene, coalesce(e.value, 0) AS value FROM expr_protos p CROSS JOIN (SELECT DISTINCT gene FROM expr) g LEFT JOIN logged e ON e.cell_id = p.cell_id AND e.gene = g.gene), r AS (SELECT prototype_id, gene, value, rank() OVER (PARTITION BY gene ORDER BY value) + (count(*) OVER (PARTITION BY gene, value) - 1) / 2 AS r FROM d), n AS (SELECT count(*) AS n FROM expr_protos), s AS (SELECT prototype_id, gene, sum(r) AS r, count(*) AS m, max(n) AS n, avg(value) AS mean_in, sum(value) AS t FROM r, n GROUP BY 1, 2), scored AS (SELECT prototype_id, gene, (r - m * (n + 1) / 2) / sqrt(m * (n - m) * (n + 1.0e0) / 12) AS z, mean_in, (sum(t) OVER (PARTITION BY gene) - t) / (n - m) AS mean_out FROM s)"
+DE += f", tested AS (SELECT *, {_normal_sql('abs(z)')} AS p FROM scored)" + _fdr_sql("tested", "prototype_id", "gene")
+
+
+@query(with_views("expr expr_protos", DE + f" SELECT prototype_id, CAST(rank AS INTEGER) AS rank, gene, {r9('z', 'score')}, round(log2((exp(mean_in) - 1 + 1e-9) / (exp(mean_out) - 1 + 1e-9)), 7) + 0.0 AS logfc, {r9('p', 'p')}, {r9('q', 'q')} FROM (SELECT *, row_number() OVER (PARTITION BY prototype_id ORDER BY z DESC, gene) AS rank FROM adjusted) WHERE rank <= 5"))
 def de_markers(spark, sf):
-    return annotate.de_markers(cut(views.expr(spark, sf)), cut(views.expr_protos(spark, sf)), 5)
+    got = annotate.de_markers(cut(views.expr(spark, sf)), cut(views.expr_protos(spark, sf)), 5)
+    return rounded(got, "score", "p", "q").withColumn("logfc", F.round("logfc", 7) + 0.0)
 
 
 # --- embeddings and models -------------------------------------------------------------------------
@@ -583,12 +690,41 @@ def pca(spark, sf):
     return cluster.pca(_embedded(spark, sf), 8, "h")
 
 
+# the scores on all components hold what the centred rows hold: the trace of their scatter and of its square
+SPECTRUM = ", m AS (SELECT gene_id, avg(value) AS m FROM features_emb GROUP BY 1), x AS MATERIALIZED (SELECT cell_id, gene_id, value - m AS v FROM features_emb JOIN m USING (gene_id)), c AS (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS c FROM x a JOIN x b USING (cell_id) GROUP BY 1, 2)"
+
+
+@query(with_views("features_emb", SPECTRUM + " SELECT round(sum(c) FILTER (i = j), 6) + 0.0 AS trace, round(sum(c * c) / sum(c) FILTER (i = j), 6) + 0.0 AS spread FROM c"))
+def pca_spectrum(spark, sf):
+    scores = cluster.pca(_embedded(spark, sf), views.FEATURES, "h").select("cell_id", F.posexplode("features").alias("i", "v"))
+    strength = scores.groupBy("i").agg(F.sum(F.col("v") * F.col("v")).alias("s"))
+    return strength.agg((F.round(F.sum("s"), 6) + 0.0).alias("trace"), (F.round(F.sum(F.col("s") * F.col("s")) / F.sum("s"), 6) + 0.0).alias("spread"))
+
+
 @query()
 def projection_2d(spark, sf):
     return cluster.projection(_embedded(spark, sf), "h")
 
 
-@query()
+def _kmeans_sql(k: int, iterations: int, seed: int = 0) -> str:
+    """``named`` (cell_id, prototype_id): starts drawn by squared distance, then assignments and means on the sphere."""
+    out = ", raw AS (SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS h FROM embeddings), x AS MATERIALIZED (SELECT cell_id, list_transform(h, lambda v: v / sqrt(list_dot_product(h, h))) AS h FROM raw)"
+    for step in range(k):
+        hashed = f"((cell_id % {PRIME}) * 48271 + {(step + 1) * 7919 + seed * 15485863 + 12345}) % {PRIME}"
+        chain = f"SELECT cell_id, {hashed} AS h0"
+        for turn in range(3):
+            chain = f"SELECT *, (h{turn} * h{turn} % {PRIME} * 48271 + h{turn} + 11) % {PRIME} AS h{turn + 1} FROM ({chain}" + (" FROM x)" if turn == 0 else ")")
+        far = "1" if step == 0 else f"(SELECT min(list_sum(list_transform(list_zip(x.h, c.h), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) FROM (" + " UNION ALL ".join(f"SELECT h FROM c{i}" for i in range(step)) + ") c)"
+        out += f", c{step} AS MATERIALIZED (SELECT {step} AS label, h FROM (SELECT cell_id, h, -ln((h3 + 0.5e0) / {PRIME}) / nullif({far}, 0) AS turn FROM x JOIN ({chain}) USING (cell_id)) ORDER BY turn NULLS LAST, cell_id LIMIT 1)"
+    out += ", g0 AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT label, h FROM c{i}" for i in range(k)) + ")"
+    nearest = "SELECT cell_id, x.h, arg_min(g.label, [list_dot_product(g.h, g.h) / 2 - list_dot_product(x.h, g.h), g.label]) AS label FROM x CROSS JOIN {} g GROUP BY 1, 2"
+    for turn in range(iterations):
+        out += f", a{turn} AS MATERIALIZED ({nearest.format(f'g{turn}')}), m{turn} AS (SELECT label, list(s ORDER BY i) AS h FROM (SELECT label, i, avg(v) AS s FROM (SELECT label, unnest(h) AS v, unnest(range(len(h))) AS i FROM a{turn}) GROUP BY 1, 2) GROUP BY 1), g{turn + 1} AS MATERIALIZED (SELECT g.label, CASE WHEN m.h IS NULL THEN g.h ELSE list_transform(m.h, lambda v: v / sqrt(list_dot_product(m.h, m.h))) END AS h FROM g{turn} g LEFT JOIN m{turn} m USING (label))"
+    out += f", last AS ({nearest.format(f'g{iterations}')}), ids AS (SELECT label, row_number() OVER (ORDER BY min(cell_id)) - 1 AS prototype_id FROM last GROUP BY 1)"
+    return out + ", named AS (SELECT cell_id, prototype_id FROM last JOIN ids USING (label))"
+
+
+@query(with_views("proto_emb", _kmeans_sql(8, 50) + " SELECT * FROM named"))
 def kmeans_assign(spark, sf):
     return cluster.spherical_kmeans(_embedded(spark, sf), 8, column="h")
 
@@ -637,18 +773,18 @@ def dataset_registry(spark, sf):
     return registry.listing(spark)
 
 
-@query()
+@query(EMB + ENDS + ", m AS (SELECT avg(prototype_id) AS mean, var_pop(prototype_id) AS v FROM proto_emb) SELECT 'argmax' AS method, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in report.LEADERBOARD if c != "niche_morans_i") + f", {r9('avg((a - mean) * (b - mean)) / max(v)', 'niche_morans_i')} FROM ends, m")
 def leaderboard(spark, sf):
     folder = tempfile.mkdtemp(prefix="tessera-report-")
     sizes = prototypes.size_structure(views.proto_emb(spark, sf)).first()
     value = spatial.morans_i(views.proto_emb(spark, sf), edges_emb(spark, sf), "prototype_id").first()[0]
     written = report.write_results("argmax", "embeddings", {"niche_morans_i": value, "size_entropy": sizes["size_entropy"]}, results_dir=folder)
     report.emit_leaderboard([written["metrics"]], Path(folder))
-    return report.leaderboard_table(spark, [written["metrics"]])
+    return rounded(report.leaderboard_table(spark, [written["metrics"]]), "niche_morans_i")
 
 
-@query()
+@query("SELECT 'events' AS dataset, count(*) AS n_cells, 2.0e0 AS wall_clock_s, 2.0e0 AS peak_rss_gb, count(*) / 2.0e0 AS throughput_cells_per_s, 'full-batch' AS infonce_mode, 'ok' AS status FROM events UNION ALL SELECT 'declared', 9000000, NULL, NULL, NULL, 'full-batch', 'blocked'")
 def scalability_table(spark, sf):
     n = views.table(spark, sf, "events").count()
-    rows = [report.run_row({"dataset_card_id": "events", "n_obs": n, "runtime_s": 2.0, "peak_rss_bytes": 2e9}), report.declared_row({"dataset": "declared", "status": "blocked"})]
+    rows = [report.run_row({"dataset_card_id": "events", "n_obs": n, "runtime_s": 2.0, "peak_rss_bytes": 2e9}), report.declared_row({"dataset": "declared", "n_cells": 9_000_000, "status": "blocked"})]
     return report.scalability_table(spark, rows)

@@ -1,20 +1,78 @@
 from collections import Counter
 
-from tessera.functions.frames import numbered, shuffled_labels
+import numpy as np
+import pytest
+
+from tessera.functions.frames import HALF_ROUNDS, numbered, shuffle_key, shuffled, shuffled_labels
 from tessera.operators import communication, spatial
 
 
-def test_numbers_are_dense(spark):
-    rows, n = numbered(spark.range(57).withColumnRenamed("id", "cell_id"), "cell_id", 3)
-    assert n == 57 and sorted(r["idx"] for r in rows.collect()) == list(range(57))
+def keys(perm, seed=0):
+    return [shuffle_key(perm, half, which, seed) for half in range(HALF_ROUNDS) for which in (0, 1)]
+
+
+@pytest.mark.parametrize("seed", [None, 3])
+def test_numbers_are_dense(spark, seed):
+    rows, n = numbered(spark.range(57).withColumnRenamed("id", "cell_id"), "cell_id", seed)
+    got = sorted((r["idx"], r["cell_id"]) for r in rows.collect())
+    assert n == 57 and [i for i, _ in got] == list(range(57)) and (seed is not None or all(i == c for i, c in got))
+
+
+def test_shuffles_are_permutations():
+    for n in (1, 2, 3, 5, 57, 100, 101, 4096):
+        assert all(sorted(shuffled(np.arange(n), n, keys(p))) == list(range(n)) for p in range(5))
+
+
+def test_shuffles_are_uniform_and_independent():
+    """Places, pairs of places, fixed points, cycles and agreement of two shuffles, as of random permutations."""
+    n, many = 60, 4000
+    drawn = np.array([shuffled(np.arange(n), n, keys(p)) for p in range(many)])
+    for cell in (0, 17, 59):
+        counts = np.bincount(drawn[:, cell], minlength=n)
+        assert ((counts - many / n) ** 2 / (many / n)).sum() < n - 1 + 5 * np.sqrt(2 * n)
+    # pairs of cells land side by side as often as any pair does
+    close = np.array([(np.abs(drawn[:, a] - drawn[:, b]) == 1).mean() for a, b in ((0, 1), (3, 40), (10, 11))])
+    assert np.abs(close - 2 / n).max() < 5 * np.sqrt(2 / n / many)
+    fixed = (drawn == np.arange(n)).sum(axis=1)
+    assert abs(fixed.mean() - 1) < 5 / np.sqrt(many) and abs(fixed.var() - 1) < 0.2
+    cycles = []
+    for p in drawn[:600]:
+        seen, k = set(), 0
+        for i in range(n):
+            if i not in seen:
+                k += 1
+                while i not in seen:
+                    seen.add(i)
+                    i = int(p[i])
+        cycles.append(k)
+    assert abs(np.mean(cycles) - (1 / np.arange(1, n + 1)).sum()) < 5 * np.std(cycles) / np.sqrt(len(cycles)) and np.std(cycles) > 1
+    agree = (drawn[:-1] == drawn[1:]).sum(axis=1)
+    assert abs(agree.mean() - 1) < 5 / np.sqrt(many)
 
 
 def test_shuffles_keep_label_counts(spark):
     labels = spark.createDataFrame([(i, "abc"[i % 3 if i < 40 else 0]) for i in range(50)], "cell_id long, kind string")
     want = Counter(r["kind"] for r in labels.collect())
-    got = shuffled_labels(labels, "kind", 5, 1).collect()
-    for p in range(5):
-        assert Counter(r["label"] for r in got if r["perm"] == p) == want and len({r["cell_id"] for r in got if r["perm"] == p}) == 50
+    coded, names = shuffled_labels(labels, "kind", 5, 1)
+    got = coded.collect()
+    assert len(got) == 50 and all(Counter(names[r["codes"][p]] for r in got) == want for p in range(5)) and len({tuple(r["codes"][p] for r in got) for p in range(5)}) == 5
+
+
+def test_null_counts_against_brute_force(spark):
+    """Mean and spread of co-location under shuffles, against many shuffles drawn by numpy."""
+    random = np.random.default_rng(0)
+    kinds = random.choice(3, 90, p=[0.5, 0.3, 0.2])
+    edges = [(int(a), int(b)) for a, b in random.integers(0, 90, (300, 2)) if a != b]
+    got = {(r["a"], r["b"]): r for r in spatial.colocation_enrichment(spark.createDataFrame([(i, f"k{k}") for i, k in enumerate(kinds)], "cell_id long, cell_type string"), spark.createDataFrame(edges, "src long, dst long"), 400).collect()}
+    s, t = np.array(edges).T
+    null = []
+    for _ in range(2000):
+        k = random.permutation(kinds)
+        null.append(np.bincount(k[s] * 3 + k[t], minlength=9).reshape(3, 3))
+    null = np.array(null) + np.array(null).transpose(0, 2, 1)
+    for (a, b), r in got.items():
+        m, sd = null[:, int(a[1]), int(b[1])].mean(), null[:, int(a[1]), int(b[1])].std()
+        assert abs(r["null_mean"] - m) < 5 * sd / np.sqrt(400) and abs(r["null_sd"] / sd - 1) < 0.2 and r["z"] == pytest.approx((r["observed"] - m) / sd, abs=0.7)
 
 
 def test_neighbours_of_one_kind_stand_out(spark):
