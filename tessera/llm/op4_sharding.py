@@ -1,15 +1,20 @@
 """Sharding by histogram sort, with DataFrame expressions only.
 
 Rows are ordered by the key (hash of the text, doc_id), so equal texts lie together and a group of any
-size can be cut. The driver holds, for each wanted splitter, an interval of keys. Each round counts the
-exact bytes below PROBES candidate boundaries of every interval, in one aggregation with map-side
-partials that only looks at rows in open intervals, and narrows the intervals, until every splitter is
+size can be cut. Texts are read once; keys and sizes go to the shared folder, where all else reads them.
+The driver holds, for each wanted splitter, an interval of keys. Each round counts the exact bytes below
+PROBES candidate boundaries of every interval, in one aggregation with map-side partials that only looks
+at rows in open intervals; with the counts come the least and largest key of each part and of the second
+key column within it, so an interval shrinks to the keys that occur. Rounds end when every splitter is
 within TOLERANCE of its share of the bytes or its interval is one key. Then rows are exchanged once, by
-shard, and numbered within it. What reaches the driver is bounded by splitters times PROBES.
+ranges of (shard, key), and numbered: a row's slot is its place in its partition plus the rows of its shard
+in earlier ones, of which there is one count a partition and shard. What reaches the driver is bounded by
+splitters times PROBES.
 
 Law ``bytes``: shard sizes differ from the mean by at most twice TOLERANCE of it plus one document.
 Null text: 16 bytes, and the hash of an empty text. Null doc_id: sorts with the least ids. Rows with
-equal keys (repeated rows) stay in one shard, in any order. An empty table gives an empty result.
+equal keys (repeated rows) stay in one shard, in any order; they are spread over ranges by a number. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table
+from tessera.llm.common import checkpoint, spare, table
 
 SHARDS, OVERHEAD = 40, 16
 PROBES = 256
@@ -62,9 +67,9 @@ def _step(low: int, high: int) -> int:
     return max(1, -(-(high - low + 1) // PROBES))
 
 
-def _histogram(rows: DataFrame, first: str, second: str, size: str, intervals: list[tuple]) -> dict[tuple, dict[int, int]]:
-    """Exact bytes in each of up to PROBES equal parts of each interval."""
-    place = F.lit(None).cast("struct<i:int,part:int>")
+def _histogram(rows: DataFrame, first: str, second: str, size: str, intervals: list[tuple]) -> dict[tuple, dict[int, tuple]]:
+    """(bytes, least and largest key, least and largest second key) of each of up to PROBES equal parts of each interval."""
+    place, key_of = F.lit(None).cast("struct<i:int,part:int>"), F.col(first)
     for i, (tied, key, low, high) in reversed(list(enumerate(intervals))):
         value = F.col(second if tied else first)
         inside = (value >= F.lit(low)) & (value <= F.lit(high))
@@ -73,19 +78,21 @@ def _histogram(rows: DataFrame, first: str, second: str, size: str, intervals: l
         # decimals, as the distance of two longs may not fit a long
         part = F.floor((value.cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")) / F.lit(_step(low, high)).cast("decimal(20,0)"))
         place = F.when(inside, F.struct(F.lit(i).alias("i"), part.cast("int").alias("part"))).otherwise(place)
-    got = rows.select(place.alias("place"), size).where("place is not null").groupBy("place").agg(F.sum(size).alias("bytes")).collect()
-    out: dict[tuple, dict[int, int]] = {i: {} for i in intervals}
+        key_of = F.when(inside, value).otherwise(key_of)
+    found = rows.select(place.alias("place"), size, key_of.alias("key"), F.col(second).alias("second")).where("place is not null")
+    got = found.groupBy("place").agg(F.sum(size).alias("bytes"), *[f(c).alias(f"{n}_{c}") for c in ("key", "second") for n, f in (("low", F.min), ("high", F.max))]).collect()
+    out: dict[tuple, dict[int, tuple]] = {i: {} for i in intervals}
     for r in got:
-        out[intervals[r["place"]["i"]]][r["place"]["part"]] = r["bytes"]
+        out[intervals[r["place"]["i"]]][r["place"]["part"]] = (r["bytes"], (r["low_key"], r["high_key"]), (r["low_second"], r["high_second"]))
     return out
 
 
-def _narrow(w: Interval, parts: dict[int, int], slack: float) -> None:
-    """Take the boundary nearest to the target if it is near enough, else go into the part that holds it."""
-    step, below = _step(w.low, w.high), w.below
+def _narrow(w: Interval, parts: dict[int, tuple], slack: float) -> None:
+    """Take the boundary nearest to the target if it is near enough, else go into the keys of the part that holds it."""
+    below = w.below
     for part in sorted(parts):
-        above = below + parts[part]
-        begin, end = w.low + part * step, min(w.high, w.low + (part + 1) * step - 1)
+        size, (begin, end), seconds = parts[part]
+        above = below + size
         if above < w.target and part != max(parts):
             below = above
             continue
@@ -95,7 +102,7 @@ def _narrow(w: Interval, parts: dict[int, int], slack: float) -> None:
         elif begin < end:
             w.low, w.high, w.below = begin, end, below
         elif w.key is None:
-            w.key, w.low, w.high, w.below = begin, LEAST, MOST, below
+            w.key, (w.low, w.high), w.below = begin, seconds, below
         else:
             w.cut = (w.key, min(near[1], MOST))
         return
@@ -116,11 +123,25 @@ def shard_of(first: Column, second: Column, cuts: list[tuple[int, int]]) -> Colu
 
 
 def sharded(rows: DataFrame, first: str, second: str, size: str, shards: int = SHARDS) -> DataFrame:
-    """``rows`` with ``shard`` and ``slot``, by equal sums of ``size`` along the keys (longs without nulls)."""
+    """``rows`` with ``shard`` and ``slot``, by equal sums of ``size`` along the keys (longs without nulls).
+
+    ``rows`` is written to the shared folder first, so keep it narrow.
+    """
+    nth, part, at = spare(rows, "nth", "part", "at")
+    rows = checkpoint(rows.withColumn(nth, F.monotonically_increasing_id()))
     cuts = splitters(rows, first, second, size, shards)
     placed = rows.withColumn("shard", shard_of(F.col(first), F.col(second), cuts).cast("int"))
-    order = Window.partitionBy("shard").orderBy(first, second)
-    return placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ("shard", first, second, nth)
+    # the number within a partition is the low 33 bits of an increasing id
+    sorted_ = placed.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    sorted_ = checkpoint(sorted_.withColumn(part, F.shiftright(at, 33)))
+    counts = sorted_.groupBy("shard", part).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row for each partition, and one more where a shard begins within one
+    starts = F.broadcast(counts.select("shard", part, (before - F.col("first")).alias("shift")))
+    met = sorted_.join(starts, ["shard", part])
+    return met.select(*[c for c in rows.columns if c != nth], "shard", (F.col(at) + F.col("shift")).cast("long").alias("slot"))
 
 
 def op4_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
