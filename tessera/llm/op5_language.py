@@ -1,10 +1,11 @@
 """Language ID: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Character GRAMS-grams of the lower-cased text (runs of anything but letters become one space) are hashed
-to DIMENSION coordinates; a row's values are their shares of its n-grams times the inverse document
-frequency learnt on the sample. FTRL with elastic-net penalties fits ``PER_CLASS`` rows a language; every
-fifth row of the sample is set aside to fit the temperature on. Inverse document frequencies, weights
-and temperature fold into one table, so scoring is a table sum over each whole text, in Arrow batches.
+Character GRAMS-grams of the lower-cased text (runs of anything but letters and their marks become one
+space) are hashed to DIMENSION coordinates; a row's values are their shares of its n-grams times the inverse
+document frequency, which is counted over all learnable rows. FTRL with elastic-net penalties fits
+``PER_CLASS`` rows a language at most (see ``samples`` for the bounds); every fifth row of the sample is set
+aside to fit the temperature on. Inverse document frequencies, weights and temperature fold into one
+table, so scoring is a table sum over each whole text, in Arrow batches. Letters are Unicode's category L.
 
 Null texts and texts without letters: ``und``, score 0. Null ids are held out; null langs never teach.
 A single learnt language is always predicted with score 1; none at all gives ``und``. Repeated rows are
@@ -13,17 +14,17 @@ scored alike. Texts are handled one at a time in pieces, so memory is bounded by
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import ftrl
 from tessera.llm.common import held_out, map_batches, table
-from tessera.llm.samples import labelled_sample, sparse_rows
+from tessera.llm.samples import document_counts, labelled_sample, sparse_rows
 
 GRAMS = (1, 2, 3)
 DIMENSION = 1 << 16
@@ -32,8 +33,8 @@ ALPHA, L1, L2, EPOCHS = 0.5, 0.02, 0.001, 4
 #: Shares are small numbers; this brings rows to about unit size.
 GAIN = 30.0
 
-_LETTER = re.compile(r"[^\W\d_]")
-_OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SHIFT = np.uint32(32 - 16)
 
@@ -41,7 +42,7 @@ _SHIFT = np.uint32(32 - 16)
 def occurrences(text: str) -> np.ndarray:
     """Coordinates of all n-gram occurrences, all sizes of GRAMS; empty without letters."""
     clean = _OTHER.sub(" ", text.lower()).strip()
-    if not clean:
+    if not _LETTER.search(clean):
         return np.zeros(0, np.int64)
     points = np.frombuffer(f" {clean} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     found = []
@@ -71,11 +72,11 @@ class Model:
         bias, heat, langs = self.table.bias, self.heat, self.langs
 
         def score(text: str | None) -> tuple[str, float]:
-            if text is None or not langs or not _LETTER.search(text):
+            at = occurrences(text or "")
+            if not langs or not len(at):
                 return "und", 0.0
-            at = occurrences(text)
-            if len(langs) == 1 or not len(at):
-                return langs[0], 1.0 if len(langs) == 1 else 1.0 / len(langs)
+            if len(langs) == 1:
+                return langs[0], 1.0
             total = np.zeros(full.shape[1])
             for k in range(0, len(at), 1 << 16):
                 total += full[at[k : k + (1 << 16)]].sum(axis=0, dtype=np.float64)
@@ -92,10 +93,8 @@ def train(docs: DataFrame, per_class: int = PER_CLASS) -> Model:
     langs = sorted({n for _, n in pairs})
     if len(langs) < 2:
         return Model(langs, ftrl.Sparse(DIMENSION, np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1)), 1.0)
-    seen = np.zeros(DIMENSION)
-    for (at, _), _ in pairs:
-        seen[at] += 1
-    rarity = np.log((1 + len(pairs)) / (1 + seen)) + 1
+    n, seen = document_counts(docs, lambda t: occurrences(t.decode()), DIMENSION)
+    rarity = np.log((1 + n) / (1 + seen)) + 1
     rows = [(at, share * rarity[at]) for (at, share), _ in pairs]
     target = np.array([langs.index(n) for _, n in pairs])
     # a third column keeps two languages multinomial, so that one table form serves all

@@ -1,9 +1,9 @@
 """Quality rules: base counts, then hashed word and character n-gram logistic regression.
 
-Base counts are exact. The classifier's features are the shares of hashed words and of hashed 3-byte and
-5-byte n-grams in the raw text (case and signs matter here). It is fitted by FTRL on ``PER_CLASS``
-labelled rows a class; every fifth row is set aside for Platt calibration. Texts are scored whole, in
-Arrow batches, against the fixed threshold KEEP.
+Base counts are exact. The classifier's features are the shares of hashed WORD_GRAMS-grams of words and
+CHARACTER_GRAMS-grams of code points in the raw text (case and signs matter here). It is fitted by FTRL on at
+most ``PER_CLASS`` labelled rows a class (see ``samples`` for the bounds); every fifth row is set aside for
+Platt calibration. Texts are scored whole, in Arrow batches, against the fixed threshold KEEP.
 
 Null text: no words, so it fails the base rule. Null ids are held out of training; repeated labels count
 once for each distinct value. Repeated rows are judged alike. Without labels of both classes the verdict is
@@ -28,6 +28,7 @@ from tessera.llm.samples import sample_by_labels, sparse_rows
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
+WORD_GRAMS, CHARACTER_GRAMS = (1, 2, 3), (3, 5)
 DIMENSION = 1 << 18
 PER_CLASS = 1500
 KEEP = 0.5
@@ -79,18 +80,19 @@ def fails(n_words: int, n_repeat_words: int) -> bool:
 
 
 def occurrences(text: bytes | None) -> np.ndarray:
-    """Coordinates of words, 3-byte and 5-byte n-grams."""
+    """Coordinates of all word n-grams and all n-grams of code points; a gram's length is part of its hash."""
     text = text or b""
     words = text.split()
-    found = [(np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1 << 40)) * _A >> _DOWN]
-    raw = np.frombuffer(text, np.uint8).astype(np.uint64)
-    for n in (3, 5):
-        if len(raw) >= n:
-            packed = raw[: len(raw) - n + 1].copy()
-            for k in range(1, n):
-                packed = (packed << np.uint64(8)) | raw[k : len(raw) - n + 1 + k]
-            packed *= _B
-            found.append((packed ^ (packed >> np.uint64(31))) * _A >> _DOWN)
+    word = np.fromiter(map(zlib.crc32, words), np.uint64, len(words)) + np.uint64(1 << 40)
+    point = np.frombuffer(text.decode().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    found = [np.zeros(0, np.uint64)]
+    for units, sizes in ((word, WORD_GRAMS), (point, CHARACTER_GRAMS)):
+        for n in sizes:
+            if (m := len(units) - n + 1) > 0:
+                h = units[:m] + np.uint64(n)
+                for k in range(1, n):
+                    h = (h ^ (h >> np.uint64(29))) * _B + units[k : k + m]
+                found.append((h ^ (h >> np.uint64(31))) * _A >> _DOWN)
     return np.concatenate(found).astype(np.int64)
 
 

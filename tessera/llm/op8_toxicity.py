@@ -3,8 +3,8 @@
 Features are the distinct single words, neighbouring pairs and pairs with one word between, of words
 lower-cased in ASCII and cut at white space and ASCII punctuation; presence counts, so length does not.
 Single words also count by their stem, the first STEM bytes, so that an ending does not hide a word.
-Fitted on a bounded sample (``per_class`` rows a label, learnable rows only); L1 leaves a few hundred
-weights, which travel with the scoring function. Whole texts are scored in Arrow batches; nothing is
+Fitted on a bounded sample (at most ``per_class`` learnable rows a label, see ``samples``); L1 leaves a few
+hundred weights, which travel with the scoring function. Whole texts are scored in Arrow batches; nothing is
 shuffled but the labels of the sample.
 
 Null or empty text: no features, so the score is the bias's. Null ids are held out. Repeated ids in
@@ -32,7 +32,7 @@ DIMENSION = 1 << 20
 PER_CLASS = 2500
 THRESHOLD = 0.7
 STEM = 5
-ALPHA, L1, L2, EPOCHS = 1.0, 10.0, 0.01, 5
+ALPHA, L1, L2, EPOCHS = 1.0, 10.0, 0.01, 10
 
 _BREAK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _STEMMED = np.uint64(1 << 40)
