@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 import numpy as np
@@ -14,6 +15,10 @@ from tessera.functions.geometry import delaunay_edges
 from tessera.schema import GraphError, require, validate_cells
 
 
+#: Cells a tile is to have, and the most tiles there may be, whatever the number of cells.
+TILE, MOST_TILES = 2048, 1_000_000
+
+
 def _axes(cells: DataFrame) -> list[str]:
     return [c for c in ("x", "y", "z") if c in cells.columns]
 
@@ -40,7 +45,7 @@ def build_graph(cells: DataFrame, k: int = 8, method: str = "knn", *, check: boo
         raise GraphError(f"k must be 0 or more, not {k}")
     if check:
         _checked(cells)
-    return knn_grid(cells, k)
+    return knn_tiles(cells, k)
 
 
 def _checked(cells: DataFrame) -> None:
@@ -68,55 +73,209 @@ def knn_join(cells: DataFrame, k: int) -> DataFrame:
     return _edges(_ranked(pairs, k))
 
 
-def knn_grid(cells: DataFrame, k: int) -> DataFrame:
-    """Nearest neighbours by a grid over x and y; exact, and equal to ``knn_join``.
+def knn_tiles(cells: DataFrame, k: int) -> DataFrame:
+    """Nearest neighbours by tiles of about TILE cells; exact, and equal to ``knn_join``.
 
-    A section's grid has about k + 1 cells a square. A cell meets the 3 x 3 squares around it, and is
-    done if its k-th distance is within what those squares cover; the others try again with squares three
-    times as wide, until the squares cover the section. Of cells at one place only the k + 1 least ids can be
-    anyone's neighbours, so piles of coincident cells do not multiply. Each round is cut to the shared
-    folder, so its size is what remains, not what was tried.
+    Quantiles of x cut a section into strips, quantiles of y each strip into tiles, so tiles have about
+    equal numbers of cells wherever those lie. A tile also gets the cells within a border around it and
+    finds its own cells' neighbours in numpy; pairs are never rows. A cell is done if its k-th distance is
+    within what the border surely covers; for the others the border is widened to the distance found.
+    Of cells at one place only the k + 1 least ids can be anyone's neighbours, so piles of coincident cells
+    do not multiply; tiles with more cells than TILE are cut into blocks of cells. There are at most
+    MOST_TILES tiles, whose corners are what the driver holds. Each round is cut to the shared folder.
     """
     axes = _axes(cells)
-    cells = cells.select("cell_id", F.col("section_id").alias("section_id"), *[F.col(a).cast("double").alias(a) for a in axes])
-    box = cells.groupBy("section_id").agg(F.count(F.lit(1)).alias("m"), *[f(a).alias(n + a) for a in ("x", "y") for f, n in ((F.min, "lo_"), (F.max, "hi_"))])
-    spread = F.sqrt((F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * (k + 1) / F.col("m"))
-    longest = F.greatest(F.col("hi_x") - F.col("lo_x"), F.col("hi_y") - F.col("lo_y"))
-    width = F.greatest(spread, longest * (k + 1) / F.col("m"))
-    box = box.withColumn("h", F.when(width > 0, width).otherwise(1.0)).withColumn("want", F.least(F.lit(k).cast("long"), F.col("m") - 1))
-    at_place = Window.partitionBy("section_id", *axes).orderBy("cell_id")
-    placed = cut(cells.join(box, "section_id").withColumn("nth", F.row_number().over(at_place)))
-    candidates = placed.where(F.col("nth") <= k + 1)
-    waiting, done, scale = placed.where("want > 0"), None, 1.0
+    # an unknown z adds nothing to a distance
+    extra = [F.coalesce(F.col("z").cast("double"), F.lit(float("nan"))).alias("z")] if "z" in axes else [F.lit(0.0).alias("z")]
+    cells = cut(cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("section_id").cast("long").alias("section_id"), *[F.col(a).cast("double").alias(a) for a in "xy"], *extra))
+    sizes = cells.groupBy("section_id").agg(F.count(F.lit(1)).alias("m"))
+    total, largest = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
+    tile = max(TILE, -(-total // MOST_TILES))
+    same = Window.partitionBy("section_id", "x", "y", "z").orderBy("cell_id")
+    candidates = cells.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
+    tiles = None
+    if largest > tile:
+        tiles = cells.sparkSession.sparkContext.broadcast(_tiles(cells, sizes, tile, k))
+        cells = cut(_tiled(cells, tiles, False).withColumn("block", F.pmod(F.xxhash64("cell_id"), F.col("blocks"))).drop("blocks"))
+        candidates = cut(candidates)
+    else:
+        cells = cells.withColumn("tile", F.col("section_id")).withColumn("block", F.lit(0).cast("long"))
+    waiting, borders, done = cells.withColumn("own", F.lit(True)), None, None
     while True:
-        side = F.col("h") * scale
-        square = lambda a: F.floor((F.col(a) - F.col(f"lo_{a}")) / side)
-        q = waiting.withColumn("sx", square("x")).withColumn("sy", square("y"))
-        around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("o")
-        q = q.select("*", around).withColumn("gx", F.col("sx") + F.col("o.i")).withColumn("gy", F.col("sy") + F.col("o.j"))
-        c = candidates.withColumn("gx", square("x")).withColumn("gy", square("y"))
-        same = (F.col("q.section_id") == F.col("c.section_id")) & (F.col("q.gx") == F.col("c.gx")) & (F.col("q.gy") == F.col("c.gy")) & (F.col("q.cell_id") != F.col("c.cell_id"))
-        # how far the 3 x 3 squares surely reach; a side beyond the section's box reaches without end
-        far = F.lit(float("inf"))
-        margins = []
-        for a in ("x", "y"):
-            low = F.col(f"q.s{a}") * F.col("q.h") * scale - F.col("q.h") * scale
-            high = low + 3 * F.col("q.h") * scale
-            own = F.col(f"q.{a}") - F.col(f"q.lo_{a}")
-            margins += [F.when(low <= 0, far).otherwise(own - low), F.when(high > F.col(f"q.hi_{a}") - F.col(f"q.lo_{a}"), far).otherwise(high - own)]
-        pairs = q.alias("q").join(c.alias("c"), same).select(
-            F.col("q.section_id").alias("section_id"), F.col("q.cell_id").alias("src"), F.col("c.cell_id").alias("dst"), _distance2(axes).alias("d2"), F.col("q.want").alias("want"), F.least(*margins).alias("reach"),
-        )
-        top = _ranked(pairs, k)
-        whole = Window.partitionBy("section_id", "src")
-        # a hair less than the reach, as squares' borders are rounded numbers
-        sure = (F.count(F.lit(1)).over(whole) >= F.col("want")) & (F.sqrt(F.max("d2").over(whole)) <= F.min("reach").over(whole) * (1 - 1e-9))
-        found = cut(top.withColumn("sure", sure).where("sure").select("section_id", "src", "dst", "rank", "d2"))
-        done = found if done is None else done.unionByName(found)
-        waiting = waiting.join(found.where("rank = 1").select(F.col("src").alias("cell_id")), "cell_id", "left_anti")
-        if not waiting.limit(1).count():
+        if tiles is None:
+            near = candidates.withColumn("tile", F.col("section_id")).withColumn("block", F.lit(0).cast("long"))
+        else:
+            blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block")
+            near = _tiled(candidates, tiles, True, borders).select("cell_id", "section_id", "x", "y", "z", "tile", blocks)
+            if borders is not None:
+                near = near.join(F.broadcast(waiting.select("tile", "block").distinct()), ["tile", "block"])  # at most one row a tile and block
+        met = waiting.unionByName(near.withColumn("own", F.lit(False))).groupBy("tile", "block").applyInArrow(_search(k, tiles, borders), FOUND)
+        if tiles is None:
+            return _edges(met.where("rank > 0"))
+        found = cut(met)
+        done = found.where("rank > 0") if done is None else done.unionByName(found.where("rank > 0"))
+        short = found.where("rank = 0").select(F.col("src").alias("cell_id"), F.col("d2").alias("need"))
+        again = cut(waiting.join(short, "cell_id"))
+        needs = {r["tile"]: r["need"] for r in again.groupBy("tile").agg(F.max("need").alias("need")).collect()}  # at most a row a tile
+        if not needs:
             return _edges(done)
-        scale *= 3
+        waiting, borders = again.drop("need"), cells.sparkSession.sparkContext.broadcast(needs)
+
+
+FOUND = "section_id long, src long, dst long, rank int, d2 double"
+
+
+def _quantiles(rows: DataFrame, group: list[str], column: str, most: int, tile: int) -> DataFrame:
+    """(group, n, bounds): the inner bounds of about sqrt(n / tile) equal parts of ``column``."""
+    marks = F.percentile_approx(column, [i / most for i in range(1, most)] or [0.5], 10_000)
+    parts = F.least(F.lit(most), F.ceil(F.col("parts")))
+    got = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.first("parts").alias("parts"), marks.alias("marks"))
+    every = F.transform(F.sequence(F.lit(1), F.greatest(parts - 1, F.lit(1)).cast("int")), lambda i: F.element_at("marks", F.greatest(F.lit(1), F.floor(i * most / parts)).cast("int")))
+    return got.select(*group, "n", F.when(parts > 1, F.array_distinct(every)).otherwise(F.array().cast("array<double>")).alias("bounds"))
+
+
+def _tiles(cells: DataFrame, sizes: DataFrame, tile: int, k: int) -> dict:
+    """What tells a cell's tile: bounds of strips and tiles, and of each tile its section, corners, border and blocks."""
+    parts = sizes.withColumn("parts", F.sqrt(F.col("m") / tile)).select("section_id", "parts")
+    most = max(2, math.ceil(parts.agg(F.max("parts")).first()[0]))
+    strips = {r["section_id"]: np.array(r["bounds"]) for r in _quantiles(cells.join(parts, "section_id"), ["section_id"], "x", most, tile).collect()}
+    shared = cells.sparkSession.sparkContext.broadcast(strips)
+
+    def strip(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            section, x = np.asarray(batch.column("section_id")), np.asarray(batch.column("x"))
+            at = np.zeros(len(x), np.int64)
+            for s in np.unique(section).tolist():
+                rows = section == s
+                at[rows] = np.searchsorted(shared.value[s], x[rows], "right")
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("section_id", "x", "y")), pa.array(at)], names=["section_id", "x", "y", "strip"])
+
+    cut_ = cells.select("section_id", "x", "y").mapInArrow(strip, "section_id long, x double, y double, strip long")
+    inner = {}
+    for r in _quantiles(cut_.join(parts, "section_id"), ["section_id", "strip"], "y", most, tile).collect():
+        inner[r["section_id"], r["strip"]] = np.array(r["bounds"])
+    first, names = {}, 0
+    for key in sorted(inner):
+        first[key], names = names, names + len(inner[key]) + 1
+    plan = {"strips": strips, "inner": inner, "first": first}
+    placed = _tiled(cells, cells.sparkSession.sparkContext.broadcast(plan), False)
+    rows = placed.groupBy("tile", "section_id").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(n + c) for c in "xy" for n, f in (("low_", F.min), ("high_", F.max))]).collect()
+    corners = {r["tile"]: (r["low_x"], r["high_x"], r["low_y"], r["high_y"]) for r in rows}
+    section = {r["tile"]: r["section_id"] for r in rows}
+    whole: dict = {}
+    for t, c in corners.items():
+        w = whole.setdefault(section[t], [np.inf, -np.inf, np.inf, -np.inf])
+        w[0], w[1], w[2], w[3] = min(w[0], c[0]), max(w[1], c[1]), min(w[2], c[2]), max(w[3], c[3])
+    border = {}
+    for r in rows:
+        lx, hx, ly, hy = corners[r["tile"]]
+        area, side = (hx - lx) * (hy - ly), max(hx - lx, hy - ly)
+        border[r["tile"]] = 2.0 * max(math.sqrt(area * (k + 1) / math.pi / r["n"]), side * (k + 1) / r["n"])
+    return plan | {"corners": corners, "section": section, "whole": whole, "border": border, "blocks": {r["tile"]: -(-r["n"] // (2 * tile)) for r in rows}}
+
+
+def _tiled(cells: DataFrame, tiles, around: bool, borders=None) -> DataFrame:
+    """``cells`` with ``tile`` and its number of ``blocks``: their own tile, or (``around``) every tile whose border takes them in."""
+
+    def place(batches):
+        import pyarrow as pa
+
+        plan = tiles.value
+        wide = None if borders is None else borders.value
+        by_section: dict = {}
+        if around:
+            for t, c in plan["corners"].items():
+                h = plan["border"][t] if wide is None else wide.get(t)
+                if h is not None:
+                    by_section.setdefault(plan["section"][t], []).append((t, c[0] - h, c[1] + h, c[2] - h, c[3] + h))
+        for batch in batches:
+            section, x, y = (np.asarray(batch.column(c)) for c in ("section_id", "x", "y"))
+            rows, names = [], []
+            for s in np.unique(section).tolist():
+                own = np.flatnonzero(section == s)
+                if around:
+                    own = own[np.argsort(x[own], kind="stable")]
+                    for t, lx, hx, ly, hy in by_section.get(s, ()):
+                        some = own[np.searchsorted(x[own], lx, "left") : np.searchsorted(x[own], hx, "right")]
+                        some = some[(y[some] >= ly) & (y[some] <= hy)]
+                        rows.append(some)
+                        names.append(np.full(len(some), t))
+                else:
+                    strip = np.searchsorted(plan["strips"][s], x[own], "right")
+                    for k in np.unique(strip).tolist():
+                        some = own[strip == k]
+                        rows.append(some)
+                        names.append(plan["first"][s, k] + np.searchsorted(plan["inner"][s, k], y[some], "right"))
+            at = np.concatenate([np.zeros(0, np.int64), *rows])
+            tile = np.concatenate([np.zeros(0, np.int64), *names]).astype(np.int64)
+            counts = plan.get("blocks", {})
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(tile), pa.array([counts.get(t, 1) for t in tile.tolist()], pa.int64())], names=[*batch.schema.names, "tile", "blocks"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", tile long, blocks long"
+    return cells.mapInArrow(place, schema)
+
+
+def _search(k: int, tiles, borders):
+    def search(key, table):
+        return _nearest(key, table, k, tiles, {} if borders is None else borders.value)
+
+    return search
+
+
+def _nearest(key: tuple, table, k: int, tiles, wide: dict):
+    """The k nearest candidates of each own cell of one tile, in order of distance and id; rank 0 tells the border a cell needs."""
+    import pyarrow as pa
+
+    own = np.asarray(table.column("own"))
+    ids, section = np.asarray(table.column("cell_id")), np.asarray(table.column("section_id"))
+    points = np.stack([np.asarray(table.column(c)) for c in "xyz"], axis=1)
+    order = np.argsort(ids[~own], kind="stable")
+    c_ids, c_at = ids[~own][order], points[~own][order]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    q_ids, q_at, q_section = ids[own], points[own], section[own]
+    border = None
+    if tiles is not None:
+        name = key[0].as_py()
+        lx, hx, ly, hy = tiles.value["corners"][name]
+        h = wide.get(name, tiles.value["border"][name])
+        box = tiles.value["whole"][tiles.value["section"][name]]
+        # a side beyond the section's own reaches without end
+        border = [(-np.inf if lx - h <= box[0] else lx - h), (np.inf if hx + h >= box[1] else hx + h), (-np.inf if ly - h <= box[2] else ly - h), (np.inf if hy + h >= box[3] else hy + h)]
+    for at in range(0, len(q_ids), 256):
+        q, me = q_at[at : at + 256], q_ids[at : at + 256]
+        d2 = (q[:, None, 0] - c_at[None, :, 0]) ** 2 + (q[:, None, 1] - c_at[None, :, 1]) ** 2 + np.nan_to_num((q[:, None, 2] - c_at[None, :, 2]) ** 2)
+        d2[me[:, None] == c_ids[None, :]] = np.inf
+        take = min(k, d2.shape[1])
+        if take and d2.shape[1] > 4 * k + 16:
+            # candidates beyond the k-th distance go first; what is left is sorted, ties by id
+            limit = np.partition(d2, take - 1, axis=1)[:, take - 1 : take]
+            width = int((d2 <= limit).sum(axis=1).max())
+            some = np.sort(np.argsort(np.where(d2 <= limit, 0, 1), axis=1, kind="stable")[:, :width], axis=1) if width < d2.shape[1] else np.broadcast_to(np.arange(width), d2.shape)
+        else:
+            some = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
+        near = np.take_along_axis(d2, some, axis=1)
+        best = np.argsort(near, axis=1, kind="stable")[:, :take]
+        near, some = np.take_along_axis(near, best, axis=1), np.take_along_axis(some, best, axis=1)
+        have = np.isfinite(near)
+        ok = np.ones(len(q), bool)
+        if border is not None:
+            reach = np.min([q[:, 0] - border[0], border[1] - q[:, 0], q[:, 1] - border[2], border[3] - q[:, 1]], axis=0)
+            last = np.sqrt(np.where(have, near, 0).max(axis=1)) if take else np.zeros(len(q))
+            full = have.sum(axis=1) >= k
+            # a hair less than the reach, as borders are rounded numbers
+            ok = np.isinf(reach) | (full & (last <= reach * (1 - 1e-9)))
+            short = np.flatnonzero(~ok)
+            span = max(box[1] - box[0], box[3] - box[2])
+            for column, values in zip(out, (q_section[at + short], me[short], me[short], np.zeros(len(short)), np.where(full[short], last[short] * (1 + 1e-6), np.maximum(4 * h, span / 1024))), strict=True):
+                column.append(values)
+        r, j = np.nonzero(have & ok[:, None])
+        for column, values in zip(out, (q_section[at + r], me[r], c_ids[some[r, j]], j + 1, near[r, j]), strict=True):
+            column.append(values)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
+    flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
+    return pa.table([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(flat, kinds, strict=True)], names=["section_id", "src", "dst", "rank", "d2"])
 
 
 def delaunay_graph(cells: DataFrame, *, check: bool = True) -> DataFrame:

@@ -49,11 +49,11 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def edges_emb(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.knn_join(views.cells_emb(spark, sf), K)
+    return graph.knn_tiles(views.cells_emb(spark, sf), K)
 
 
 def edges_ev(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.knn_grid(views.cells_ev(spark, sf), K)
+    return graph.knn_tiles(views.cells_ev(spark, sf), K)
 
 
 def _knn_sql(view: str, k: int = K) -> str:
@@ -122,7 +122,7 @@ def cross_section_edges(spark, sf):
     from tessera.schema import cross_section_edges as leaving
 
     cells = views.cells_emb(spark, sf)
-    return leaving(graph.knn_grid(cells.withColumn("section_id", F.lit(0).cast("long")), K), cells)
+    return leaving(graph.knn_tiles(cells.withColumn("section_id", F.lit(0).cast("long")), K), cells)
 
 
 @query(EMB + " SELECT src, dst FROM edges WHERE src NOT IN (SELECT cell_id FROM proto_emb WHERE prototype_id < 4) OR dst NOT IN (SELECT cell_id FROM proto_emb WHERE prototype_id < 4)")
