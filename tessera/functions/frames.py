@@ -6,7 +6,7 @@ import math
 import tempfile
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,6 +53,23 @@ PRIME = (1 << 31) - 1
 HALF_ROUNDS = 6
 
 
+def scrambled(ids: np.ndarray, step: int, seed: int) -> np.ndarray:
+    """Numbers below PRIME that look random, from ids; any SQL can follow them."""
+    prime = np.uint64(PRIME)
+    h = ((ids % PRIME).astype(np.uint64) * np.uint64(48271) + np.uint64((step + 1) * 7919 + seed * 15485863 + 12345)) % prime
+    for _ in range(3):
+        h = (h * h % prime * np.uint64(48271) + h + np.uint64(11)) % prime
+    return h
+
+
+def scrambled_column(ids: Column, step: int, seed: int) -> Column:
+    """``scrambled`` as an expression, for ids of 0 and more."""
+    h = (ids % PRIME * 48271 + ((step + 1) * 7919 + seed * 15485863 + 12345)) % PRIME
+    for _ in range(3):
+        h = (h * h % PRIME * 48271 + h + 11) % PRIME
+    return h
+
+
 def shuffle_key(perm: int, half: int, which: int, seed: int) -> int:
     """The keys of one shuffle are numbers below PRIME, scrambled from its own number."""
     k = ((perm + 1) * 1000003 + (half + 1) * 7919 + (which + 1) * 104729 + seed * 15485863 + 12345) % PRIME

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import cut
-from tessera.operators.features import QcReport, apply_qc, category_codes, looks_like_raw_counts, normalise_log1p, resolve_sections
+from tessera.operators.features import QcReport, apply_qc, category_codes, count_qc_applicable, normalise_log1p, resolve_sections
 from tessera.operators.graph import build_graph
 from tessera.operators.model import NicheModelResult
 from tessera.schema import validate_inputs
@@ -25,11 +25,17 @@ class Loaded:
     qc: QcReport | None = None
 
 
+#: Kinds of the columns that the contracts name; any other column of a CSV file is text.
+CSV_KINDS = {"cell_id": "long", "section_id": "long", "x": "double", "y": "double", "z": "double", "gene_id": "int", "value": "double", "prototype_id": "long"}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, ORC, CSV (with a header) or JSON lines, by the path's ending; HDF5 and zarr need converting first."""
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "csv":
-        return spark.read.option("header", True).option("inferSchema", True).csv(path)
+        # text columns take the kinds of the table contracts; no pass over the file to guess them
+        rows = spark.read.option("header", True).csv(path)
+        return rows.withColumns({c: F.col(f"`{c}`").cast(kind) for c, kind in CSV_KINDS.items() if c in rows.columns})
     if ending in ("json", "jsonl"):
         return spark.read.json(path)
     if ending == "orc":
@@ -48,7 +54,7 @@ def load_dataset(spark: SparkSession, cells_path: str, expr_path: str, *, alread
     if not {"x", "y"} <= set(cells.columns):
         raise KeyError("cells have no coordinates x and y")
     notes, report = [], None
-    raw = not already_normalized and looks_like_raw_counts(expr, cells)
+    raw = count_qc_applicable(expr, cells, already_normalized)
     if raw and qc:
         cells, expr, report = apply_qc(cells, expr, min_counts, min_genes)
         notes.append(report.note(min_counts, min_genes))

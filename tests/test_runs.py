@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import features
+from tessera.operators import communication, features
 from tessera.plans import runs
 from tessera.sources import synthetic, tables
 from tessera.streaming.abundance import windowed_abundance
@@ -34,7 +34,9 @@ def test_fit_and_stability_commands(spark, saved, tmp_path):
     assert metrics["n_obs"] == 120 and metrics["metrics"]["n_prototypes"] >= 2
     h, assigned, kinds = tables.read_fit(spark, str(tmp_path / "model" / "outputs"))
     assert h.count() == assigned.count() == 120 and kinds.count() >= 2
-    assert runs.main(["leaderboard", str(tmp_path / "model" / "metrics.json"), "--out", str(tmp_path / "out")]) == 0
+    assert runs.main(["leaderboard", str(tmp_path / "model" / "metrics.json"), "--out", str(tmp_path / "out"), "--stub", str(tmp_path / "stub.json")]) == 0
+    stub = json.loads((tmp_path / "stub.json").read_text())
+    assert stub["data_ready"] and not stub["paper_claim_ready"] and set(stub["artifacts"]) == {"leaderboard_csv", "leaderboard_md", "leaderboard_json"}
     assert runs.main(["scalability", str(tmp_path / "model" / "run_metadata.json"), "--out", str(tmp_path / "out")]) == 0
     cells = spark.read.parquet(str(saved / "cells.parquet")).withColumnRenamed("fov", "section_id")
     expr = features.category_codes(spark.read.parquet(str(saved / "expr.parquet")), "gene", "gene_id").withColumn("gene_id", F.col("gene_id").cast("int"))
@@ -48,6 +50,9 @@ def test_baselines(spark, saved, name):
     expr = features.category_codes(spark.read.parquet(str(saved / "expr.parquet")), "gene", "gene_id").withColumn("gene_id", F.col("gene_id").cast("int"))
     h = runs.baseline_embedding(name, cells, expr, 12, n_components=3, n_steps=2, k=4)
     assert h.count() == 120 and h.columns == ["cell_id", "h"]
+    if name == "composition":
+        with pytest.raises(ValueError):
+            runs.baseline_embedding(name, cells, expr, 12, k=4, n_types=2)
 
 
 def test_stability_refits_the_model_for_each_seed(spark, saved, tmp_path, monkeypatch):
@@ -65,6 +70,41 @@ def test_stability_refits_the_model_for_each_seed(spark, saved, tmp_path, monkey
     assert written["seed_stability"]["mean_ari"] == pytest.approx(1.0) or sum(r["overlap"] for r in pairs) < len(a)
 
 
+def test_further_sweep_and_ligrec_commands(spark, saved, tmp_path):
+    common = [str(saved / "cells.parquet"), str(saved / "expr.parquet"), "--section-col", "fov", "--min-genes", "1"]
+    pairs = tmp_path / "pairs.csv"
+    pairs.write_text("ligand,receptor\ng00,g01\ng02,g03\n")
+    assert runs.main(["fit", *common, "--results-dir", str(tmp_path), "--n-prototypes", "3", "--epochs", "2", "--sample-col", "fov", "--outcome-col", "arm", "--outcome-kind", "binary", "--supervised-metrics", "cell_type", "--interaction-summary", str(pairs)]) == 0
+    outputs = tmp_path / "model" / "outputs"
+    told = json.loads((outputs / "supervised_metrics.json").read_text())
+    assert told["secondary"] and {r["source"] for r in told["rows"]} == {"model", "kmeans"} and spark.read.parquet(str(outputs / "interactions")).columns[-1] == "pvalue"
+    assert runs.main(["further", *common, "--results-dir", str(tmp_path / "more"), "--fit", str(outputs), "--max-k", "6", "--starts", "1", "--permutations", "5"]) == 0
+    more = tmp_path / "more"
+    assert all(spark.read.parquet(str(more / n)).count() for n in ("composition", "colocation", "markers"))
+    assert [r["k"] for r in json.loads((more / "k_sweep.json").read_text())] == [5, 6] and len(json.loads((more / "per_niche_morans_i.json").read_text())) >= 2
+    assert json.loads((more / "further_metrics.json").read_text())["pca_silhouette"] is not None
+    assert runs.main(["sweep", *common, "--results-dir", str(tmp_path / "sweep"), "--epochs", "1", "--d", "2", "3", "--tau", "0.2", "--n-prototypes", "2"]) == 0
+    summary = json.loads((tmp_path / "sweep" / "sweep_summary.json").read_text())
+    assert [r["knobs"]["d"] for r in summary] == [2, 3] and all(r["status"] == "ok" and json.loads((tmp_path / "sweep" / r["run_id"] / "run.json").read_text()) == r for r in summary)
+    assert runs.main(["ligrec", *common, "--results-dir", str(tmp_path), "--pair", "g00,g01", "--permutations", "3"]) == 0
+    assert spark.read.parquet(str(tmp_path / "ligrec")).count() > 0
+
+
+def test_interaction_keys(spark):
+    assert communication.key_table(spark, [("a", "b"), ("a", "b"), ["c", "d"]]).count() == 2
+    for bad in (["ab"], [("a",)], [("a", "b"), ("a", "b", "c")]):
+        with pytest.raises(ValueError):
+            communication.key_table(spark, bad)
+    with pytest.raises(ValueError):
+        communication.check_keys(spark.createDataFrame([("a", None)], "ligand string, receptor string"))
+
+
+def test_csv_tables_take_their_kinds_from_the_contract(spark, tmp_path):
+    (tmp_path / "cells.csv").write_text("cell_id,x,y,section\n1,0.5,2,007\n")
+    rows = tables.read_table(spark, str(tmp_path / "cells.csv"))
+    assert [f.dataType.simpleString() for f in rows.schema] == ["bigint", "double", "double", "string"] and rows.first()["section"] == "007"
+
+
 def test_stream(spark, tmp_path):
     rows = spark.createDataFrame([(0, 1), (0, 1), (1, 2)], "sample_id long, prototype_id long").withColumn("ts", F.lit("2024-01-01 10:00:00").cast("timestamp"))
     rows.write.parquet(str(tmp_path / "in"))
