@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_batches, table
-from tessera.llm.units import KEEP_BYTES, encode_texts, gather, pieces
+from tessera.llm.units import KEEP_BYTES, byte_level_table, encode_texts, gather, pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Entries of a worker's tables: units with their ids, words with theirs, and compatible pairs; about 50 MB.
@@ -38,20 +38,13 @@ _W = r"\p{White_Space}"
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^" + _W + r"\p{L}\p{N}]+|" + _W + r"+(?!" + f"[^{_W}])|" + _W + "+")
 
 
-def _byte_of_char() -> dict[str, int]:
-    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes count up from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class Bpe:
     """Encoder and decoder of one tokenizer file with a byte-level BPE model whose ids are in merge order."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        alphabet = _byte_of_char()
+        alphabet = {c: b for b, c in byte_level_table().items()}
         raw = lambda token: bytes(alphabet[c] for c in token)
         vocabulary = spec["model"]["vocab"]
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}

@@ -1,20 +1,22 @@
 """Token-id output: Re-Pair grammar compressed shards, read back at random.
 
-Documents go to shards by ranges of doc_id (ties: by a hash of the text), each shard sorted. A shard is
-encoded with the tokenizers library, unit by unit (see ``units``), every document ends with END, and
-blocks of about BLOCK_TOKENS ids are compressed on their own: in each of ROUNDS rounds the pairs of
-neighbouring symbols are counted, the most frequent ones become nonterminals, and non-overlapping
-occurrences are replaced from left to right. Pairs do not cross documents.
-
-File format, one Parquet row a block, written by Spark's committer into a shared folder: shard, block,
-doc_ids, token_starts (of documents, within the block's ids; one more entry for the end), packed_starts
+Documents go to partitions by ranges of doc_id (ties: by a hash of the text, equal rows dealt out), about
+PART_BYTES of text each, and are sorted there. They are encoded with the tokenizers library, unit by unit
+(see ``units``), every document ends with END, and each run of about SHARD_TOKENS ids is a shard with a
+grammar of its own. Re-Pair: the exact counts of all pairs of neighbouring symbols are taken, the most
+frequent pairs (those within a factor of STEP of the most frequent, so that a round replaces many) become
+nonterminals, their occurrences are replaced from left to right, and counts are taken again, until no pair
+occurs LEAST_COUNT times or all 16-bit symbols are used. Pairs do not cross documents.
+
+File format, one Parquet row a shard, written by Spark's committer into a shared folder: part, shard,
+doc_ids, token_starts (of documents, within the shard's ids; one more entry for the end), packed_starts
 (the same within the sequence), rules (left and right symbol of nonterminal BASE + k, unsigned 16-bit
 little-endian), lengths (ids each nonterminal stands for, 32-bit), sequence (symbols, 16-bit).
-``decode`` expands any slice of a block: symbols' lengths find a token's place without expanding what
+``decode`` expands any slice of a shard: symbols' lengths find a token's place without expanding what
 is before it.
 
 Null or empty text: END alone. Null doc_ids sort first. Repeated rows each keep their place. Very long
-documents make a block of their own size; a block never holds more than one beyond BLOCK_TOKENS.
+documents make a shard of their own size; a shard never holds more than one beyond SHARD_TOKENS.
 """
 
 from __future__ import annotations
@@ -30,20 +32,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, shared_folder, table
-from tessera.llm.units import encode_texts, gather
+from tessera.llm.common import checkpoint, map_batches, shared_folder, table
+from tessera.llm.units import byte_level_table, encode_texts, gather
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0
-BLOCK_TOKENS = 1 << 21
-ROUNDS, LEAST_COUNT = 3, 8
+SHARD_TOKENS, PART_BYTES, ENCODE_BYTES = 1 << 21, 256 << 20, 4 << 20
+LEAST_COUNT, STEP = 8, 8
+MOST_BROADCAST = 200_000
 #: The last 16-bit symbol is not used, so that NO_PAIR is no pair.
 SYMBOLS = (1 << 16) - 1
-_BUCKETS = 18
 #: Stands for a pair across documents; no rule ever makes these two symbols.
 NO_PAIR = np.uint32(0xFFFFFFFF)
 
-BLOCKS = "shard int, block int, doc_ids array<bigint>, token_starts array<bigint>, packed_starts array<bigint>, rules binary, lengths binary, sequence binary"
+SHARDS = "part int, shard int, doc_ids array<bigint>, token_starts array<bigint>, packed_starts array<bigint>, rules binary, lengths binary, sequence binary"
 
 
 class Encoder:
@@ -58,6 +60,9 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.shown = byte_level_table()
+        self.tails = {"": b"", **{c: array("H", self.tokenizer.encode(c, add_special_tokens=False).ids).tobytes() for c in ".,;:!?"}}
 
     def batch(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -67,7 +72,29 @@ class Encoder:
         return [np.frombuffer(self._ids([t])[0], np.uint16) if x else next(parts) for t, x in zip(texts, special, strict=True)]
 
     def _ids(self, texts: list[bytes]) -> list[bytes]:
-        return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        """Ids of units. The pre-tokenizer's pattern takes a space and letters whole, and one sign after them on its own; so such units go straight to the model, and share the ids of their word."""
+        tails, known, merge, shown = self.tails, self.known.get, self.merge, self.shown
+        out, rest, places = [], [], []
+        for unit in texts:
+            text = unit.decode()
+            tail = text[-1:]
+            if tail in tails:  # one byte long, like the space before the word
+                word, head = text[:-1], unit[:-1]
+            else:
+                word, head, tail = text, unit, ""
+            spaced = word[:1] == " "
+            if not (word[1:] if spaced else word).isalpha():
+                places.append(len(out))
+                rest.append(text)
+                out.append(b"")
+                continue
+            ids = known(head[1:]) if tail and spaced else None
+            if ids is None:
+                ids = array("H", [t.id for t in merge(head.decode("latin-1").translate(shown))]).tobytes()
+            out.append(ids + tails[tail] if tail else ids)
+        for place, e in zip(places, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            out[place] = array("H", e.ids).tobytes()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -78,53 +105,54 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(sequence, its flags of document ends, rules (k x 2), lengths) of ids with ``last`` set at document ends."""
-    rules, lengths, room = [np.zeros((0, 2), np.int64)], [np.ones(base, np.int64)], SYMBOLS - base
-    for turn in range(rounds):
-        if len(ids) < 2 or room <= 0:
-            break
-        key = (ids[:-1].astype(np.uint32) << np.uint32(16)) | ids[1:].astype(np.uint32)
+def compress(ids: np.ndarray, last: np.ndarray, base: int, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sequence, its flags of document ends, rules (k x 2), lengths) of ids with ``last`` set at document ends.
+
+    Of two chosen pairs that overlap the left one is replaced; one that is left with fewer than ``least``
+    places by that is counted anew in the next round, as are pairs that share a hash bucket with a more
+    frequent one.
+    """
+    ids, last, room = ids.astype(np.uint16), last.copy(), SYMBOLS - base
+    rules, lengths, spread = [np.zeros((0, 2), np.int64)], np.ones(base, np.int64), np.uint32(0x9E3779B1)
+    while room > 0 and len(ids) > 1:
+        key = (ids[:-1].astype(np.uint32) << np.uint32(16)) | ids[1:]
         key[last[:-1]] = NO_PAIR
-        bucket = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKETS)
-        counts = np.bincount(bucket, minlength=1 << _BUCKETS)
-        counts[(int(NO_PAIR) * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - _BUCKETS)] = 0
-        share = max(1, room // (rounds - turn))
-        best = np.argpartition(counts, -share)[-share:] if share < len(counts) else np.arange(len(counts))
-        best = best[counts[best] >= least]
-        symbol = np.full(1 << _BUCKETS, -1, np.int32)
-        symbol[best] = np.arange(len(best))
-        found = symbol[bucket]
-        at = np.flatnonzero(found >= 0)
-        found, pair = found[at], key[at]
-        # a bucket's rule is the pair that comes last in it; counts are then taken again, exactly
-        pairs = np.full(len(best), NO_PAIR, np.uint32)
-        pairs[found] = pair
-        same = pair == pairs[found]
-        at, found = at[same], found[same]
-        frequent = np.bincount(found, minlength=len(best)) >= least
-        best = np.flatnonzero(frequent)
-        if not len(best):
+        ordered = np.sort(key)
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        pairs, counts = ordered[starts], np.diff(np.append(starts, len(ordered)))
+        if pairs[-1] == NO_PAIR:
+            pairs, counts = pairs[:-1], counts[:-1]
+        if not len(counts) or (top := int(counts.max())) < least:
             break
-        same = frequent[found]
-        number = np.cumsum(frequent) - 1 + SYMBOLS - room
-        at, found, pairs = at[same], number[found[same]], pairs[best].astype(np.int64)
+        best = np.flatnonzero(counts >= max(least, -(-top // STEP)))
+        pairs = pairs[best[np.argsort(-counts[best], kind="stable")][: min(room, 1 << 15)]]
+        # a table of sixteen places a pair: small ones stay in the processor's cache
+        down = np.uint32(32 - max(8, int(16 * len(pairs) - 1).bit_length()))
+        symbol = np.full(1 << (32 - int(down)), -1, np.int16)
+        symbol[(pairs[::-1] * spread) >> down] = np.arange(len(pairs), dtype=np.int16)[::-1]
+        found = symbol[(key * spread) >> down]
+        at = np.flatnonzero(found >= 0)
+        at = at[key[at] == pairs[found[at]]]
         place = np.arange(len(at))
         run = place - np.maximum.accumulate(np.where(np.concatenate([[True], at[1:] != at[:-1] + 1]), place, 0))
-        at, found = at[run % 2 == 0], found[run % 2 == 0]
-        chosen = np.stack([pairs >> 16, pairs & 0xFFFF], axis=1)
+        at = at[run % 2 == 0]
+        found = found[at]
+        uses = np.bincount(found, minlength=len(pairs))
+        kept = uses >= least
+        if not kept.any():  # runs of one symbol alone: progress all the same
+            kept = uses > 0
+        number = np.cumsum(kept) - 1 + SYMBOLS - room
+        at, found = at[kept[found]], number[found[kept[found]]]
+        chosen = np.stack([pairs[kept] >> 16, pairs[kept] & 0xFFFF], axis=1).astype(np.int64)
         rules.append(chosen)
-        table = np.concatenate(lengths)
-        lengths.append(table[chosen[:, 0]] + table[chosen[:, 1]])
-        room -= len(best)
-        ids = ids.copy()
+        lengths = np.concatenate([lengths, lengths[chosen[:, 0]] + lengths[chosen[:, 1]]])
+        room -= len(chosen)
         ids[at] = found
-        last = last.copy()
         last[at] = last[at + 1]
         stays = np.ones(len(ids), bool)
         stays[at + 1] = False
         ids, last = ids[stays], last[stays]
-    return ids, last, np.concatenate(rules), np.concatenate(lengths)[base:]
+    return ids, last, np.concatenate(rules), lengths[base:]
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,53 +175,66 @@ def decode(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return gather(ids, starts[symbols], sizes[symbols])
 
 
-def tokens_at(block: dict, start: int, stop: int, base: int) -> np.ndarray:
-    """Ids start..stop of a block, expanding only the symbols that hold them."""
-    rules = np.frombuffer(block["rules"], "<u2").astype(np.int64).reshape(-1, 2)
-    lengths = np.concatenate([np.ones(base, np.int64), np.frombuffer(block["lengths"], "<i4")])
-    sequence = np.frombuffer(block["sequence"], "<u2")
+def tokens_at(shard: dict, start: int, stop: int, base: int) -> np.ndarray:
+    """Ids start..stop of a shard, expanding only the symbols that hold them."""
+    rules = np.frombuffer(shard["rules"], "<u2").astype(np.int64).reshape(-1, 2)
+    lengths = np.concatenate([np.ones(base, np.int64), np.frombuffer(shard["lengths"], "<i4")])
+    sequence = np.frombuffer(shard["sequence"], "<u2")
     ends = np.cumsum(lengths[sequence])
     first, past = np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "left") + 1
     before = ends[first - 1] if first else 0
     return decode(sequence[first:past], rules, base)[start - before : stop - before]
 
 
-def packed(docs: DataFrame, path: str, shards: int, block_tokens: int = BLOCK_TOKENS, text: str = "text") -> DataFrame:
-    """Blocks (see the file format) of ``docs`` in ascending doc_id order; ``path`` names the tokenizer."""
+def _lots(batches: Iterator[dict]) -> Iterator[tuple[list, list]]:
+    """Batches put together to about ENCODE_BYTES of text, as equal units are encoded once a lot."""
+    docs, texts, held = [], [], 0
+    for batch in batches:
+        docs, texts = docs + batch["doc_id"], texts + batch["text"]
+        held += sum(len(t or b"") for t in batch["text"])
+        if held >= ENCODE_BYTES:
+            yield docs, texts
+            docs, texts, held = [], [], 0
+    if docs:
+        yield docs, texts
+
+
+def packed(docs: DataFrame, path: str, parts: int, shard_tokens: int = SHARD_TOKENS, text: str = "text") -> DataFrame:
+    """Shards (see the file format) of ``docs`` in ascending doc_id order; ``path`` names the tokenizer."""
     size = encoder(path).size
 
-    def block(shard: int, number: int, rows: list[tuple[int | None, np.ndarray]]) -> dict:
+    def shard(part: int, number: int, rows: list[tuple[int | None, np.ndarray]]) -> dict:
         starts = np.concatenate([[0], np.cumsum([len(x) for _, x in rows])]).astype(np.int64)
         last = np.zeros(starts[-1], bool)
         last[starts[1:] - 1] = True
-        sequence, last, rules, lengths = compress(np.concatenate([x for _, x in rows]).astype(np.int32), last, size)
+        sequence, last, rules, lengths = compress(np.concatenate([x for _, x in rows]), last, size)
         ends = np.concatenate([[0], np.flatnonzero(last) + 1])
         return {
-            "shard": [shard], "block": [number], "doc_ids": [[d for d, _ in rows]], "token_starts": [starts], "packed_starts": [ends],
+            "part": [part], "shard": [number], "doc_ids": [[d for d, _ in rows]], "token_starts": [starts], "packed_starts": [ends],
             "rules": [rules.astype("<u2").tobytes()], "lengths": [lengths.astype("<i4").tobytes()], "sequence": [sequence.astype("<u2").tobytes()],
         }
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        shard, number, waiting, held = TaskContext.get().partitionId(), 0, [], 0
+        part, number, waiting, held = TaskContext.get().partitionId(), 0, [], 0
         tokens = encoder(path)
-        for batch in batches:
-            for doc, ids in zip(batch["doc_id"], tokens.batch(batch["text"]), strict=True):
+        for docs, texts in _lots(batches):
+            for doc, ids in zip(docs, tokens.batch(texts), strict=True):
                 waiting.append((doc, np.append(ids, np.uint16(END))))
                 held += len(ids) + 1
-                if held >= block_tokens:
-                    yield block(shard, number, waiting)
+                if held >= shard_tokens:
+                    yield shard(part, number, waiting)
                     number, waiting, held = number + 1, [], 0
         if waiting:
-            yield block(shard, number, waiting)
+            yield shard(part, number, waiting)
 
-    tie = F.xxhash64(F.col(text))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), tie.alias("tie"))
-    dealt = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return map_batches(dealt.select("doc_id", "text"), BLOCKS, run)
+    # equal rows have a number too, so that a large group of them is cut into ranges like any other
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("tie"), F.monotonically_increasing_id().alias("nth"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "tie", "nth").sortWithinPartitions("doc_id", "tie", "nth")
+    return map_batches(dealt.select("doc_id", "text"), SHARDS, run)
 
 
-def read_back(blocks: DataFrame, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, shard, block) of each document in blocks written by ``packed``."""
+def read_back(shards: DataFrame, path: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, part, shard) of each document in shards written by ``packed``."""
     base = encoder(path).size
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
@@ -206,22 +247,24 @@ def read_back(blocks: DataFrame, path: str) -> DataFrame:
                 n = len(spans)
                 yield {
                     "doc_id": batch["doc_ids"][k], "start": [s + batch["before"][k] for s, _ in spans], "n_tokens": [e - s for s, e in spans],
-                    "ids_crc32": [zlib.crc32(ids[s:e].tobytes()) for s, e in spans], "shard": [batch["shard"][k]] * n, "block": [batch["block"][k]] * n,
+                    "ids_crc32": [zlib.crc32(ids[s:e].tobytes()) for s, e in spans], "part": [batch["part"][k]] * n, "shard": [batch["shard"][k]] * n,
                 }
 
-    # one row a shard is all that meets in one task; blocks are summed within their shard
-    sizes = blocks.select("shard", "block", F.element_at("token_starts", -1).alias("n"))
-    shards = sizes.groupBy("shard").agg(F.sum("n").alias("n"))
-    shards = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("earlier"))
-    within = Window.partitionBy("shard").orderBy("block")
-    sizes = sizes.select("shard", "block", (F.sum("n").over(within) - F.col("n")).alias("inside")).join(shards, "shard")
-    placed = blocks.join(sizes.select("shard", "block", (F.col("earlier") + F.col("inside")).alias("before")), ["shard", "block"])
-    return map_batches(placed, "doc_id long, start long, n_tokens long, ids_crc32 long, shard int, block int", run)
+    # one row a partition is all that meets in one task; shards are summed within their partition
+    sizes = shards.select("part", "shard", F.element_at("token_starts", -1).alias("n"))
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))
+    parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("earlier"))
+    within = Window.partitionBy("part").orderBy("shard")
+    sizes = sizes.select("part", "shard", (F.sum("n").over(within) - F.col("n")).alias("inside")).join(parts, "part")
+    sizes = checkpoint(sizes.select("part", "shard", (F.col("earlier") + F.col("inside")).alias("before")))
+    # a row of three numbers a shard; their number is checked, beyond it shards are exchanged to meet them
+    placed = shards.join(F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes, ["part", "shard"])
+    return map_batches(placed, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int", run)
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(VOCABULARY)
+    path, docs = public_tokenizers.path(VOCABULARY), table(spark, sf_dir, "documents")
     folder = shared_folder(spark, "token-store")
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed(table(spark, sf_dir, "documents"), path, shards).write.parquet(folder)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    packed(docs, path, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))).write.parquet(folder)
     return read_back(spark.read.parquet(folder), path)

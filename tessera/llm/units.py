@@ -20,6 +20,13 @@ _START = re.compile(rb" (?!" + _WHITE + rb")")
 KEEP_BYTES, KEEP_UNITS = 48, 700_000
 
 
+def byte_level_table() -> dict[int, str]:
+    """The byte-level alphabet: printable Latin-1 stands for itself, other bytes count up from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
 def pieces(text: bytes) -> list[bytes]:
     """The text cut at unit starts; all but the first piece lack the space they begin with."""
     return _START.split(text) if _JOINED.search(text) else text.split(b" ")
