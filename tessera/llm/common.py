@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.frames import checkpoint_folder
+
 #: Words are maximal runs of anything but ASCII white space (what ``bytes.split()`` yields).
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,25 +40,14 @@ def spare(df: DataFrame, *names: str) -> list[str]:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so that a lost executor costs a re-read, not a recompute.
-
-    The folder is what ``spark.checkpoint.dir`` names; only where the session has none (tests on one
-    machine) a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+    """Cut lineage through the shared checkpoint folder, so that a lost executor costs a re-read, not a recompute."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared checkpoint folder, removed when the driver ends."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera-checkpoints-"))
-    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
     return path
 

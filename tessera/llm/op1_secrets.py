@@ -28,6 +28,8 @@ ASSIGN_VALUE = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Whole runs of CANDIDATE characters that are shorter than that and begin with a letter.
+WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_/-]{3,18}(?![A-Za-z0-9+/_=-])"
 
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: any other character
@@ -62,14 +64,17 @@ def ordinary_samples(spark: SparkSession, n: int) -> DataFrame:
 
 
 def word_samples(docs: DataFrame, n_docs: int, n_all: int) -> DataFrame:
-    """Label 0: words of letters in about ``n_docs`` of ``n_all`` documents, chosen by a hash of the id."""
-    if n_all == 0:
-        share = 1.0
-    else:
-        share = min(1.0, n_docs / n_all)
+    """Label 0: words and identifiers of about ``n_docs`` of ``n_all`` documents, chosen by a hash of the id.
+
+    Digits and signs take part as they do in real identifiers; runs long enough to be CANDIDATE and what the
+    base patterns match are left out, as they are what is judged.
+    """
+    share = 1.0 if n_all == 0 else min(1.0, n_docs / n_all)
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("markov")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("[A-Za-z]{4,}"), 0)
-    return chosen.select(F.explode(words).alias("sample"), F.lit(0).alias("label"))
+    text = F.coalesce("text", F.lit(""))
+    for pattern in (ASSIGN, ACCESS, HEX):
+        text = F.regexp_replace(text, pattern, " ")
+    return chosen.select(F.explode(F.regexp_extract_all(text, F.lit(WORDLIKE), 0)).alias("sample"), F.lit(0).alias("label"))
 
 
 def train(samples: DataFrame) -> list[float]:
