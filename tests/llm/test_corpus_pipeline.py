@@ -1,6 +1,7 @@
 import hashlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -64,6 +65,30 @@ def test_one_row_of_each_group_of_copies_stays(spark):
 
 def test_pipeline_of_nothing(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
-    for _, stage in corpus_pipeline.STAGES[1:]:
+    for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
     assert docs.count() == 0
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows and ids, and columns with the names that stages use."""
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = [(None, None, None, None, None), (None, "", "en", "a", 0), (7, "long words " * 20000, None, None, 9), (7, "x" * 40000, "en", "a", 1), (8, "secret: ABCDEFGHIJKLMNOP1234 in a text", "en", None, 5)]
+    docs = real.unionByName(spark.createDataFrame(odd + [(9, "one row that is here three times", "en", "b", 3)] * 3, real.schema))
+    for name in ("tie", "own", "copies", "kept", "spans", "clean", "_gone", "size", "share", "ids"):
+        docs = docs.withColumn(name, F.lit("clash"))
+    before = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        docs = got.cache()
+        if name == "simhash near-dedup":
+            rows = docs.collect()
+            assert {(r["doc_id"], r["text"]) for r in rows} <= before and sum(r["doc_id"] == 9 and r["text"].startswith("one row") for r in rows) == 1
+            assert any(r["text"] == "x" * 40000 for r in rows) and all(r["tie"] == r["ids"] == "clash" for r in rows)
+        if name == "secret scans":
+            assert all("ABCDEFGHIJKLMNOP1234" not in (r["text"] or "") for r in docs.collect())
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    want = sorted((str(r["doc_id"]), tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) for r in docs.collect())
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in tokens) == want and all(r["n_tokens"] == len(r["ids"]) for r in tokens)
