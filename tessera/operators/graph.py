@@ -248,30 +248,29 @@ def _nearest(key: tuple, table, k: int, tiles, wide: dict):
         d2 = (q[:, None, 0] - c_at[None, :, 0]) ** 2 + (q[:, None, 1] - c_at[None, :, 1]) ** 2 + np.nan_to_num((q[:, None, 2] - c_at[None, :, 2]) ** 2)
         d2[me[:, None] == c_ids[None, :]] = np.inf
         take = min(k, d2.shape[1])
-        if take and d2.shape[1] > 4 * k + 16:
-            # candidates beyond the k-th distance go first; what is left is sorted, ties by id
-            limit = np.partition(d2, take - 1, axis=1)[:, take - 1 : take]
-            width = int((d2 <= limit).sum(axis=1).max())
-            some = np.sort(np.argsort(np.where(d2 <= limit, 0, 1), axis=1, kind="stable")[:, :width], axis=1) if width < d2.shape[1] else np.broadcast_to(np.arange(width), d2.shape)
-        else:
-            some = np.broadcast_to(np.arange(d2.shape[1]), d2.shape)
-        near = np.take_along_axis(d2, some, axis=1)
-        best = np.argsort(near, axis=1, kind="stable")[:, :take]
-        near, some = np.take_along_axis(near, best, axis=1), np.take_along_axis(some, best, axis=1)
-        have = np.isfinite(near)
+        limit = np.partition(d2, take - 1, axis=1)[:, take - 1 : take] if take else np.zeros((len(q), 1))
+        # all within the k-th distance, then in order of distance and id
+        r, j = np.nonzero((d2 <= limit) & np.isfinite(d2)) if take else (np.zeros(0, np.int64),) * 2
+        near = d2[r, j]
+        order = np.lexsort((j, near, r))
+        r, j, near = r[order], j[order], near[order]
+        rank = np.arange(len(r)) - np.searchsorted(r, r) + 1
+        r, j, near, rank = r[rank <= k], j[rank <= k], near[rank <= k], rank[rank <= k]
         ok = np.ones(len(q), bool)
         if border is not None:
             reach = np.min([q[:, 0] - border[0], border[1] - q[:, 0], q[:, 1] - border[2], border[3] - q[:, 1]], axis=0)
-            last = np.sqrt(np.where(have, near, 0).max(axis=1)) if take else np.zeros(len(q))
-            full = have.sum(axis=1) >= k
+            last = np.zeros(len(q))
+            np.maximum.at(last, r, np.sqrt(near))
+            full = np.bincount(r, minlength=len(q)) >= k
             # a hair less than the reach, as borders are rounded numbers
             ok = np.isinf(reach) | (full & (last <= reach * (1 - 1e-9)))
             short = np.flatnonzero(~ok)
             span = max(box[1] - box[0], box[3] - box[2])
             for column, values in zip(out, (q_section[at + short], me[short], me[short], np.zeros(len(short)), np.where(full[short], last[short] * (1 + 1e-6), np.maximum(4 * h, span / 1024))), strict=True):
                 column.append(values)
-        r, j = np.nonzero(have & ok[:, None])
-        for column, values in zip(out, (q_section[at + r], me[r], c_ids[some[r, j]], j + 1, near[r, j]), strict=True):
+        kept = ok[r]
+        r, j, near, rank = r[kept], j[kept], near[kept], rank[kept]
+        for column, values in zip(out, (q_section[at + r], me[r], c_ids[j], rank, near), strict=True):
             column.append(values)
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64())
     flat = [np.concatenate(c) if c else np.zeros(0) for c in out]
