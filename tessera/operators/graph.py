@@ -16,7 +16,7 @@ from tessera.schema import GraphError, require, validate_cells
 
 
 #: Cells a tile is to have, and the most tiles there may be, whatever the number of cells.
-TILE, MOST_TILES = 2048, 1_000_000
+TILE, MOST_TILES = 4096, 1_000_000
 
 
 def _axes(cells: DataFrame) -> list[str]:
@@ -90,7 +90,7 @@ def knn_tiles(cells: DataFrame, k: int) -> DataFrame:
     cells = cut(cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("section_id").cast("long").alias("section_id"), *[F.col(a).cast("double").alias(a) for a in "xy"], *extra))
     sizes = cells.groupBy("section_id").agg(F.count(F.lit(1)).alias("m"))
     total, largest = sizes.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0))).first()
-    tile = max(TILE, -(-total // MOST_TILES))
+    tile, parts = max(TILE, -(-total // MOST_TILES)), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     same = Window.partitionBy("section_id", "x", "y", "z").orderBy("cell_id")
     candidates = cells.withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1).drop("nth")
     tiles = None
@@ -109,7 +109,9 @@ def knn_tiles(cells: DataFrame, k: int) -> DataFrame:
             near = _tiled(candidates, tiles, True, borders).select("cell_id", "section_id", "x", "y", "z", "tile", blocks)
             if borders is not None:
                 near = near.join(F.broadcast(waiting.select("tile", "block").distinct()), ["tile", "block"])  # at most one row a tile and block
-        met = waiting.unionByName(near.withColumn("own", F.lit(False))).groupBy("tile", "block").applyInArrow(_search(k, tiles, borders), FOUND)
+        # a number of partitions of its own, as few bytes stand for much work here
+        dealt = waiting.unionByName(near.withColumn("own", F.lit(False))).repartition(parts, "tile", "block")
+        met = dealt.groupBy("tile", "block").applyInArrow(_search(k, tiles, borders), FOUND)
         if tiles is None:
             return _edges(met.where("rank > 0"))
         found = cut(met)
