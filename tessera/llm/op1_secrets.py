@@ -2,9 +2,13 @@
 
 DataFrame expressions only. Spans are (start, kind number, end) structs in code points, end exclusive;
 kinds are numbered as in KINDS. Base patterns are matched leftmost and non-overlapping per kind, and
-failing matches are consumed and dropped. The fourth kind holds runs of CANDIDATE characters that touch
-no base span and that a character Markov model of random strings explains better, by THRESHOLD nats in
-total and PER_STEP nats a transition, than one of ordinary identifiers.
+failing matches are consumed and dropped. The fourth kind holds stretches of runs of CANDIDATE characters
+that a character Markov model of random strings explains better, by THRESHOLD nats in total and PER_STEP
+nats a transition, than one of ordinary identifiers. A run is scored pair by pair: a stretch begins where
+the running sum rises above zero, ends where it was largest, and is closed at the sign (none of a letter or
+digit) by which the sum has fallen by DROP or below zero; so a token is found at the end of a long path,
+and several of a run are. A stretch is widened to whole groups of letters and digits, and what base spans
+cover is taken out of it, so that no part of a secret beside a base span is left.
 
 Null or empty text: no spans. Repeated rows and ids: each row is scanned alone. Very long texts: cost is
 linear in the text; only the list of one row's matches is built in memory. Empty tables give empty
@@ -34,7 +38,10 @@ WORDLIKE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z][A-Za-z0-9_/-]{3,18}(?![A-Za-z0-9+/_=-
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 STATES = len(ALPHABET) + 1  # 0: any other character
 SMOOTHING = 0.5
-THRESHOLD, PER_STEP = 10.0, 0.4
+THRESHOLD, PER_STEP, DROP = 10.0, 0.4, 8.0
+#: Characters of a widened stretch; as many as of a run.
+STRETCH = 20
+GROUPED = 62  # states of letters and digits come first
 
 #: Ordinary words that identifiers are made of (fixed values).
 IDENTIFIER_WORDS = (
@@ -64,13 +71,13 @@ def ordinary_samples(spark: SparkSession, n: int) -> DataFrame:
 
 
 def word_samples(docs: DataFrame, n_docs: int, n_all: int) -> DataFrame:
-    """Label 0: words and identifiers of about ``n_docs`` of ``n_all`` documents, chosen by a hash of the id.
+    """Label 0: words and identifiers of about ``n_docs`` of ``n_all`` documents, chosen by a hash of id and text.
 
     Digits and signs take part as they do in real identifiers; runs long enough to be CANDIDATE and what the
     base patterns match are left out, as they are what is judged.
     """
     share = 1.0 if n_all == 0 else min(1.0, n_docs / n_all)
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("markov")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    chosen = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("markov")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     text = F.coalesce("text", F.lit(""))
     for pattern in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, pattern, " ")
@@ -112,16 +119,62 @@ def _transitions(sample: Column) -> Column:
     )
 
 
-def _log_ratio(sample: Column, model: list[float]) -> Column:
+def _stretches(run: Column, model: list[float]) -> Column:
+    """(start, end) within ``run`` of the stretches that pass, widened, in one fold over its pairs of characters.
+
+    ``at`` is the pair's second character, ``group`` where its group begins; a stretch from ``begin`` (widened:
+    ``low``) has the sum ``score``, was best with ``top`` at ``best``, and ``high`` follows the group of that end.
+    """
     weights = F.split(F.lit(",".join(map(repr, model))), ",").cast("array<double>")
-    return F.aggregate(_transitions(sample), F.lit(0.0), lambda s, k: s + F.element_at(weights, k))
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    steps = _transitions(run)
+    sign = lambda state: (state == 0) | (state > GROUPED)
+    zero, i0 = F.lit(0.0), F.lit(0)
+    begin = F.struct(
+        F.lit(1).alias("at"), F.when(sign(F.floor((F.element_at(steps, 1) - 1) / STATES)), 1).otherwise(0).alias("group"), i0.alias("begin"), i0.alias("low"), zero.alias("score"),
+        zero.alias("top"), i0.alias("best"), i0.alias("high"), F.lit(False).alias("grows"), none.alias("out"),
+    )
+
+    def kept(a: Column) -> Column:
+        passes = (a["top"] >= THRESHOLD) & (a["top"] >= PER_STEP * (a["best"] - a["begin"] - 1)) & (a["high"] - a["low"] >= STRETCH)
+        return F.when(passes, F.concat(a["out"], F.array(F.struct(a["low"].alias("start"), a["high"].alias("end"))))).otherwise(a["out"])
+
+    def scored(a: Column, k: Column) -> Column:
+        ends = sign(F.pmod(k - 1, F.lit(STATES)))
+        anew = a["score"] <= 0
+        fresh = anew & (a["top"] < THRESHOLD)
+        score = F.when(fresh, zero).otherwise(a["score"]) + F.element_at(weights, k)
+        top = F.when(fresh, zero).otherwise(a["top"])
+        # a stretch begins with the pair's first character, or behind a sign
+        first = F.when(fresh, F.when(ends, a["at"] + 1).otherwise(F.greatest(a["at"] - 1, a["group"]))).otherwise(a["begin"])
+        low = F.when(fresh, F.when(ends, a["at"] + 1).otherwise(a["group"])).otherwise(a["low"])
+        rises = score > top
+        grows = ~ends & (rises | (a["grows"] & ~fresh))
+        return F.struct(
+            (a["at"] + 1).alias("at"), F.when(ends, a["at"] + 1).otherwise(a["group"]).alias("group"), first.alias("begin"), low.alias("low"), score.alias("score"),
+            F.greatest(score, top).alias("top"), F.when(rises, a["at"] + 1).otherwise(a["best"]).alias("best"),
+            F.when(rises | grows, a["at"] + 1).otherwise(a["high"]).alias("high"), grows.alias("grows"), a["out"].alias("out"), ends.alias("ends"),
+        )
+
+    def step(acc: Column, k: Column) -> Column:
+        # an array of one binds the scored state, so that it is worked out once
+        def close(a: Column) -> Column:
+            over = a["ends"] & ((a["score"] <= 0) | (a["score"] < a["top"] - DROP))
+            reset = lambda c, v: F.when(over, v).otherwise(a[c]).alias(c)
+            return F.struct(*[a[c].alias(c) for c in ("at", "group", "begin", "low")], reset("score", zero), reset("top", zero), *[a[c].alias(c) for c in ("best", "high", "grows")], F.when(over, kept(a)).otherwise(a["out"]).alias("out"))
+
+        return F.element_at(F.transform(F.array(scored(acc, k)), close), 1)
+
+    found = F.aggregate(steps, begin, step, kept)
+    mixed = lambda s: (lambda x: x.rlike("[A-Za-z]") & x.rlike("[0-9]"))(F.substring(run, s["start"] + 1, s["end"] - s["start"]))
+    return F.when(run.rlike("[A-Za-z]") & run.rlike("[0-9]"), F.filter(found, mixed)).otherwise(none)
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _located(text: Column, pattern: str, kind: int, measure: Column, passes) -> Column:
-    """Spans of the matches of ``pattern``; ``measure`` is an array aligned with the matches, tested by ``passes``.
+def _located(text: Column, pattern: str, measure: Column, found) -> Column:
+    """Spans that ``found`` makes of (start, end, value) for each match of ``pattern``; ``measure`` has the matches' values.
 
     The gaps between matches and the matches' lengths add up to positions.
     """
@@ -133,16 +186,34 @@ def _located(text: Column, pattern: str, kind: int, measure: Column, passes) ->
     def add(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["g"]
         end = start + F.coalesce(x["n"], F.lit(0))
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(passes(x), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.coalesce(found(start, end, x["v"]), empty)).alias("out"))
 
     folded = F.aggregate(steps, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda acc: acc["out"])
     return F.when(text.rlike(pattern), folded).otherwise(empty)
 
 
+def _span(start: Column, kind: int, end: Column) -> Column:
+    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+
+
 def _runs(text: Column, pattern: str, kind: int) -> Column:
     lengths = F.transform(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.length(m))
-    return _located(text, pattern, kind, lengths, lambda x: x["v"].isNotNull())
+    return _located(text, pattern, lengths, lambda start, end, n: F.when(n.isNotNull(), F.array(_span(start, kind, end))))
+
+
+def _left_over(span: Column, base: Column) -> Column:
+    """The parts of ``span`` that no base span covers."""
+
+    def take(acc: Column, b: Column) -> Column:
+        free = (b["start"] > acc["at"]) & (acc["at"] < span["end"])
+        part = F.array(_span(acc["at"], 3, F.least(b["start"], span["end"])))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.when(free, F.concat(acc["out"], part)).otherwise(acc["out"]).alias("out"))
+
+    def rest(acc: Column) -> Column:
+        return F.when(acc["at"] < span["end"], F.concat(acc["out"], F.array(_span(acc["at"], 3, span["end"])))).otherwise(acc["out"])
+
+    touching = F.filter(base, lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
+    return F.aggregate(touching, F.struct(span["start"].alias("at"), F.array().cast(SPANS).alias("out")), take, rest)
 
 
 def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "base_spans", added: str = "added_spans") -> DataFrame:
@@ -151,18 +222,15 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", base: str = "b
     values = F.transform(F.regexp_extract_all(whole, F.lit(ASSIGN), 2), lambda m: F.length(m))
     none = F.array().cast(SPANS)
     signs = F.contains(whole, F.lit("=")) | F.contains(whole, F.lit(":"))
-    assign = F.when(signs, _located(whole, ASSIGN, 0, values, lambda x: F.coalesce(x["v"] >= ASSIGN_VALUE, F.lit(False)))).otherwise(none)
+    long = lambda start, end, n: F.when(n >= ASSIGN_VALUE, F.array(_span(start, 0, end)))
+    assign = F.when(signs, _located(whole, ASSIGN, values, long)).otherwise(none)
     access = F.when(F.contains(whole, F.lit("AKIA")), _runs(whole, ACCESS, 1)).otherwise(none)
     found = F.array_sort(F.concat(assign, access, _runs(whole, HEX, 2)))
-
-    def judged(m: Column) -> Column:
-        score = _log_ratio(m, model)
-        return m.rlike("[A-Za-z]") & m.rlike("[0-9]") & (score >= THRESHOLD) & (score >= PER_STEP * (F.length(m) - 1))
-
-    verdicts = F.transform(F.regexp_extract_all(whole, F.lit(CANDIDATE), 0), judged)
-    random = F.when(whole.rlike("[0-9]"), _located(whole, CANDIDATE, 3, verdicts, lambda x: F.coalesce(x["v"], F.lit(False)))).otherwise(none)
+    stretches = F.transform(F.regexp_extract_all(whole, F.lit(CANDIDATE), 0), lambda m: _stretches(m, model))
+    placed = lambda start, end, v: F.transform(v, lambda s: _span(start + s["start"], 3, start + s["end"]))
+    random = F.when(whole.rlike("[0-9]"), _located(whole, CANDIDATE, stretches, placed)).otherwise(none)
     out = docs.withColumn(base, found).withColumn(added, random)
-    apart = F.filter(added, lambda r: ~F.exists(base, lambda s: (s["start"] < r["end"]) & (r["start"] < s["end"])))
+    apart = F.flatten(F.transform(added, lambda s: _left_over(s, F.col(base))))
     return out.withColumn(added, F.when(F.size(added) > 0, apart).otherwise(F.col(added)))
 
 

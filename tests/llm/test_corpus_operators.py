@@ -57,14 +57,44 @@ def base_spans(text):
     return sorted(out)
 
 
-def judged(text, model):
+def stretches(run, model):
+    """(start, end) of the stretches of a run of candidate characters that pass, whole groups of letters and digits."""
+    if not (re.search("[A-Za-z]", run) and re.search("[0-9]", run)):
+        return []
     index = lambda c: op1_secrets.ALPHABET.find(c) + 1
-    score = sum(model[index(a) * op1_secrets.STATES + index(b)] for a, b in zip(text, text[1:], strict=False))
-    return bool(re.search("[A-Za-z]", text) and re.search("[0-9]", text) and score >= op1_secrets.THRESHOLD and score >= op1_secrets.PER_STEP * (len(text) - 1))
+    sign = [not re.match("[A-Za-z0-9]", c) for c in run]
+    groups = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", run)]
+    out, score, top, begin, best = [], 0.0, 0.0, 0, 0
+
+    def close():
+        low = next((s for s, e in groups if s <= begin < e), begin)
+        high = next((e for s, e in groups if s < best <= e), best)
+        if top >= op1_secrets.THRESHOLD and top >= op1_secrets.PER_STEP * (best - begin - 1) and high - low >= op1_secrets.STRETCH:
+            out.append((low, high))
+
+    for at in range(1, len(run)):
+        if score <= 0 and top < op1_secrets.THRESHOLD:
+            score, top, begin = 0.0, 0.0, at + 1 if sign[at] else at - 1 + sign[at - 1]
+        score += model[index(run[at - 1]) * op1_secrets.STATES + index(run[at])]
+        if score > top:
+            top, best = score, at + 1
+        if sign[at] and (score <= 0 or score < top - op1_secrets.DROP):
+            close()
+            score, top = 0.0, 0.0
+    close()
+    return [(s, e) for s, e in out if re.search("[A-Za-z]", run[s:e]) and re.search("[0-9]", run[s:e])]
+
+
+def left_over(span, base):
+    free = [k for k in range(*span) if not any(s <= k < e for s, _, e in base)]
+    starts = [k for k in free if k - 1 not in free]
+    return [(s, 3, next(e for e in range(s + 1, span[1] + 1) if e not in free)) for s in starts]
 
 
 def test_secrets(spark, docs, rows, empty):
-    planted = [(900, "key Zx8kQ2mVb7Rt4Yp1Lw9Hs3Nd and the_ordinary_identifier_name_of_value2 here"), (901, "see /documentation/reference/example/index2 or user_name_value_index_1")]
+    token, other = "Zp8vT3yWq7RmNk2xQ9fL", "xK9fQ2mZpL8vT3yWq7Rm"
+    hidden = ["xK9fQ2mZdeadbeefdeadbeef00ZpL8vT3yWq7RmNk2", f"articles/index/products/download/category/{token}", f"see {token}", f"/user/name/{other}/index-html/{token}_list", f"my_api_key=abcd1234efgh5678 x={other}-password=abcdefghijkl9", token * 40 + "/" + "user/" * 400 + other]
+    planted = [(910 + k, t) for k, t in enumerate(hidden)] + [(900, "key Zx8kQ2mVb7Rt4Yp1Lw9Hs3Nd and the_ordinary_identifier_name_of_value2 here"), (901, "see /documentation/reference/example/index2 or user_name_value_index_1")]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
     model = op1_secrets.default_model(spark, docs)
     got = defaultdict(set)
@@ -72,10 +102,16 @@ def test_secrets(spark, docs, rows, empty):
         got[r["doc_id"]].add((tuple(map(tuple, r["base_spans"])), tuple(map(tuple, r["added_spans"]))))
     for doc, text in [*((r[0], r[1]) for r in rows), *planted]:
         base = base_spans(text or "")
-        found = [(m.start(), 3, m.end()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or "") if judged(m[0], model)]
-        added = [f for f in found if not any(s < f[2] and f[0] < e for s, _, e in base)]
+        found = [(m.start() + s, m.start() + e) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or "") for s, e in stretches(m[0], model)]
+        added = [f for span in found for f in left_over(span, base)]
         assert (tuple(base), tuple(added)) in got[doc]
     assert [s for _, a in got[900] for s in a] == [(4, 3, 28)] and all(not a for _, a in got[901])
+    # nothing is left of a token in a path, of two in one run, or beside a base span
+    clear = {r["doc_id"]: r["text"] for r in op1_secrets.redact(more, model).where("doc_id >= 910 and doc_id < 920").collect()}
+    assert clear[910] == "[SECRET]" * 3 and clear[911] == "articles/index/products/download/category/[SECRET]" and clear[912] == "see [SECRET]"
+    assert not any(part in t for t in clear.values() for part in ("xK9f", "Rm", "Zp8v", "9fL", "efgh", "ijkl")) and "index-html" in clear[913] and "user/user/user" in clear[915]
+    same = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("Some ordinary words of row "), "id").alias("text"))
+    assert op1_secrets.word_samples(same, 2000, 5000).count() > 4000 and op1_secrets.word_samples(same.withColumn("doc_id", F.lit(7)), 2000, 5000).count() > 4000
     assert op1_secrets.scan(empty, model, base="b", added="a").count() == 0
     clean = {r["doc_id"]: r for r in op1_secrets.redact(docs, model, chars="n_chars").where("doc_id in (-10, -6)").collect()}
     assert clean[-10]["text"] == "[SECRET]' [SECRET] [SECRET] secret=short"
@@ -249,7 +285,17 @@ def test_sharding(spark, docs, rows, empty):
     equal = spark.range(3000).select(F.lit(5).cast("long").alias("k"), F.when(F.col("id") < 2500, 1).otherwise(F.col("id")).cast("long").alias("d"), F.lit(10).cast("long").alias("bytes")).repartition(7)
     got = op4_sharding.sharded(equal, "k", "d", "bytes", 4).collect()
     by_shard = {s: sorted(r["slot"] for r in got if r["shard"] == s) for s in {r["shard"] for r in got}}
-    assert len(got) == 3000 and all(v == list(range(len(v))) for v in by_shard.values()) and len({r["shard"] for r in got if r["d"] == 1}) == 1
+    assert len(got) == 3000 and all(v == list(range(750)) for v in by_shard.values()) and len({r["shard"] for r in got if r["d"] == 1}) == 4
+    for n_equal, n_other in ((4000, 0), (2000, 2000)):  # whole rows repeated, ids null
+        text = F.when(F.col("id") < n_equal, "same").otherwise(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 5, "0")))
+        rows_ = spark.range(n_equal + n_other).repartition(5).select(F.xxhash64(text).alias("k"), F.lit(op4_sharding.LEAST).alias("d"), (F.length(text) + 16).cast("long").alias("bytes"))
+        got = op4_sharding.sharded(rows_, "k", "d", "bytes", 40).collect()
+        sums, slots = defaultdict(int), defaultdict(list)
+        for r in got:
+            sums[r["shard"]] += r["bytes"]
+            slots[r["shard"]].append(r["slot"])
+        assert len(got) == n_equal + n_other and len(sums) == 40 and max(abs(v - sum(sums.values()) / 40) for v in sums.values()) <= 22 + 0.002 * sum(sums.values()) / 40
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
     assert op4_sharding.sharded(keyed.limit(0), "k", "d", "bytes", 5).count() == 0
 
 
