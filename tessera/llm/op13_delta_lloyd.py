@@ -37,7 +37,8 @@ MOST = float(1 << 17)
 EXACT = 1 << 22
 #: Rows of a bucket; a row is some 300 bytes.
 BUCKET_ROWS = 400_000
-STATE = "id long, vec_id long, owner int, distance long, transfers array<long>"
+STATE = "id long, vec_id long, owner int, distance long, transfers array<struct<c:int,v:array<long>>>"
+TRANSFERS = pa.list_(pa.struct([("c", pa.int32()), ("v", pa.list_(pa.int64()))]))
 
 
 def kept(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", width: int = WIDTH, scale: int = SCALE) -> DataFrame:
@@ -100,14 +101,14 @@ def _round(centroids: np.ndarray, moved: np.ndarray):
                 yield from _written(*last, None)
             last = batch, owner, distance
         if last is not None:
-            yield from _written(*last, totals.ravel())
+            yield from _written(*last, totals)
 
     return run
 
 
 def _written(batch: pa.RecordBatch, owner: np.ndarray, distance: np.ndarray, totals: np.ndarray | None) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
-    transfers = pa.nulls(n, pa.list_(pa.int64())) if totals is None else pa.array([None] * (n - 1) + [totals], pa.list_(pa.int64()))
+    transfers = pa.array([None] * (n - 1) + [None if totals is None else [{"c": c, "v": t.tolist()} for c, t in enumerate(totals) if t.any()]], TRANSFERS)
     arrays = [batch.column(0), batch.column(1), pa.array(owner, pa.int32()), pa.array(distance, pa.int64()), transfers]
     yield pa.RecordBatch.from_arrays(arrays, names=["id", "vec_id", "owner", "distance", "transfers"])
 
@@ -160,9 +161,10 @@ def clustered(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS, *, v
         states.drop(keep=1)
         if step == rounds:
             break
-        gone = state.where("transfers is not null").select(F.posexplode("transfers").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
-        for r in gone.collect():  # centroids x components
-            sums[divmod(r["i"], width + 1)] += int(r["v"])
+        # a row for each task and centroid that took part
+        gone = state.where("transfers is not null").select(F.explode("transfers").alias("t")).groupBy("t.c").agg(*[F.sum(F.col("t.v")[i].cast("decimal(38,0)")) for i in range(width + 1)])
+        for c, *more in gone.collect():  # centroids x components
+            sums[c] += np.array([int(v) for v in more], object)
         after = centroids.copy()
         for c, total in enumerate(sums):
             if total[-1]:
