@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -48,17 +49,64 @@ def numbered(df: DataFrame, key: str, seed: int | None = None, name: str = "idx"
     return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_shift")).drop("_h", "_part", "_at", "_shift"), n
 
 
+#: Partial vectors that are added up in one task, or on the driver.
+FAN_IN = 32
+
+
+def matrix(column) -> np.ndarray:
+    """Rows of an Arrow column of equally long lists of numbers."""
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def tree_sum(rows: DataFrame, partial: Callable[[Iterator], np.ndarray | None]) -> np.ndarray | None:
+    """The sum of the vectors that ``partial`` makes of the Arrow batches of each partition; None if it makes none.
+
+    FAN_IN vectors at most meet in a task or on the driver, in the order of their partitions, so sums repeat
+    to the last bit.
+    """
+    import pyarrow as pa
+
+    schema, names = "part long, data binary", ["part", "data"]
+
+    def first(batches):
+        from pyspark import TaskContext
+
+        if (vector := partial(batches)) is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([vector.astype(np.float64).tobytes()], pa.binary())], names=names)
+
+    def total(found: list[tuple[int, bytes]]) -> np.ndarray:
+        return sum((np.frombuffer(data) for _, data in sorted(found)[1:]), np.frombuffer(min(found)[1]).copy())
+
+    def added(table):
+        found = list(zip(table.column("part").to_pylist(), table.column("data").to_pylist(), strict=True))
+        return pa.table([pa.array([min(found)[0] // FAN_IN], pa.int64()), pa.array([total(found).tobytes()], pa.binary())], names=names)
+
+    parts, width = rows.mapInArrow(first, schema), rows.rdd.getNumPartitions()
+    while width > FAN_IN:
+        parts, width = parts.groupBy(F.floor(F.col("part") / FAN_IN).alias("lot")).applyInArrow(added, schema), -(-width // FAN_IN)
+    found = [(r["part"], bytes(r["data"])) for r in parts.collect()]
+    return total(found) if found else None
+
+
 #: A prime whose squares fit a long; shuffles are worked out in numbers below it, which any SQL can follow.
 PRIME = (1 << 31) - 1
 HALF_ROUNDS = 6
 
 
+def _below_prime(h: np.ndarray) -> np.ndarray:
+    """``h % PRIME`` of unsigned 64-bit numbers; 2^31 is 1 there, so the upper bits are added to the lower ones."""
+    prime, bits = np.uint64(PRIME), np.uint64(31)
+    for _ in range(2):
+        h = (h & prime) + (h >> bits)
+    h = (h & prime) + (h >> bits)
+    return np.where(h == prime, np.uint64(0), h)
+
+
 def scrambled(ids: np.ndarray, step: int, seed: int) -> np.ndarray:
     """Numbers below PRIME that look random, from ids; any SQL can follow them."""
-    prime = np.uint64(PRIME)
-    h = ((ids % PRIME).astype(np.uint64) * np.uint64(48271) + np.uint64((step + 1) * 7919 + seed * 15485863 + 12345)) % prime
+    h = _below_prime((ids % PRIME).astype(np.uint64) * np.uint64(48271) + np.uint64((step + 1) * 7919 + seed * 15485863 + 12345))
     for _ in range(3):
-        h = (h * h % prime * np.uint64(48271) + h + np.uint64(11)) % prime
+        h = _below_prime(_below_prime(h * h) * np.uint64(48271) + h + np.uint64(11))
     return h
 
 

@@ -219,6 +219,25 @@ def _tiled(cells: DataFrame, tiles, around: bool, borders=None) -> DataFrame:
     return cells.mapInArrow(place, schema)
 
 
+def cell_tiles(cells: DataFrame, size: int) -> DataFrame:
+    """(cell_id, tile): cells dealt to tiles of about ``size`` near cells of a section, numbered from 0; small sections share one."""
+    rows = cut(cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("section_id").cast("long").alias("section_id"), *[F.col(a).cast("double").alias(a) for a in "xy"]))
+    sizes = rows.groupBy("section_id").agg(F.count(F.lit(1)).alias("m"))
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    if not total:
+        return rows.select("cell_id", F.lit(0).cast("long").alias("tile"))
+    plan = rows.sparkSession.sparkContext.broadcast(_tiles(rows, sizes, max(size, -(-total // MOST_TILES)), 1))
+    placed = _tiled(rows, plan, False).select("cell_id", "tile")
+    names, held, number = [], 0, 0
+    for tile, n in sorted(map(tuple, placed.groupBy("tile").count().collect())):  # at most MOST_TILES
+        if held and held + n > 1.25 * size:
+            held, number = 0, number + 1
+        names.append((tile, number))
+        held += n
+    given = rows.sparkSession.createDataFrame(names, "tile long, given long")
+    return placed.join(F.broadcast(given), "tile").select("cell_id", F.col("given").alias("tile"))
+
+
 def _search(k: int, tiles, borders):
     def search(key, table):
         return _nearest(key, table, k, tiles, {} if borders is None else borders.value)

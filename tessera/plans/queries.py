@@ -731,19 +731,21 @@ def kmeans_assign(spark, sf):
 
 @query()
 def k_stability(spark, sf):
-    return cluster.k_stability(_embedded(spark, sf), (5, 8), starts=2, column="h")
+    return cluster.k_stability(_embedded(spark, sf), column="h")
 
 
 @query()
 def encoder_embeddings(spark, sf):
-    config = encoder.EncoderConfig(d=8, hidden=16, epochs=5)
-    return encoder.train_embeddings(_embedded(spark, sf), cut(edges_emb(spark, sf)), config, column="h")
+    embedded = _embedded(spark, sf)
+    config = encoder.EncoderConfig(batch_size=features.effective_batch_size(0, embedded.count()))
+    return encoder.train_embeddings(embedded, cut(edges_emb(spark, sf)), config, column="h")
 
 
 @query()
 def fit_model(spark, sf):
-    config = model.NicheModelConfig(n_prototypes=6, encoder=encoder.EncoderConfig(d=8, hidden=16, epochs=5))
-    got = model.fit(views.cells_emb(spark, sf), views.features_emb(spark, sf), config, n_genes=views.FEATURES, edges=cut(edges_emb(spark, sf)))
+    cells = views.cells_emb(spark, sf)
+    config = model.NicheModelConfig(encoder=encoder.EncoderConfig(batch_size=features.effective_batch_size(0, cells.count())))
+    got = model.fit(cells, views.features_emb(spark, sf), config, n_genes=views.FEATURES, edges=cut(edges_emb(spark, sf)))
     return got.assignments.join(got.prototypes, "prototype_id")
 
 

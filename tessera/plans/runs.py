@@ -84,12 +84,14 @@ def pca_baseline_silhouette(expr: DataFrame, n_genes: int, assigned: DataFrame,
 def stability(cells: DataFrame, expr: DataFrame, edges: DataFrame, *, n_genes: int, config: model.NicheModelConfig | None = None, n_seeds: int = 5, thresholds: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(seed stability, coverage sweep, matching): the whole model, encoder included, is fitted anew for each seed.
 
-    Seeds count up from the config's. The sweep is of the first fit, the matching (proto_a, proto_b,
+    Seeds count up from the config's; their encoders train in the same jobs. The sweep is of the first fit, the matching (proto_a, proto_b,
     overlap) of the first two; None with one.
     """
     config = config or model.NicheModelConfig(k=GRAPH_K)
     encoders = [replace(config.encoder, seed=config.encoder.seed + s) for s in range(n_seeds)]
-    runs = [model.fit(cells, expr, replace(config, encoder=e), n_genes=n_genes, edges=edges).assignments for e in encoders]
+    trained = model.embeddings(cells, expr, edges, config.encoder, n_genes, [e.seed for e in encoders])
+    h = [trained.where(F.col("seed") == e.seed).select("cell_id", "h") for e in encoders]
+    runs = [model.fit(cells, expr, replace(config, encoder=e), n_genes=n_genes, edges=edges, embedded=x).assignments for e, x in zip(encoders, h, strict=True)]
     every = None
     for s, run in enumerate(runs):
         rows = run.select("cell_id", F.lit(s).alias("labeling"), F.col("prototype_id").alias("label"))
