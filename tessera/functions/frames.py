@@ -88,6 +88,53 @@ def tree_sum(rows: DataFrame, partial: Callable[[Iterator], np.ndarray | None])
     return total(found) if found else None
 
 
+#: Parts that an interval of values is counted in at a time.
+PROBES = 256
+
+
+def order_statistics(values: DataFrame, places: list[int]) -> list[float]:
+    """The values at ``places`` (from 0) of the one column of ``values`` (doubles; nulls are left out, NaN comes last), in order.
+
+    Counts below PROBES boundaries of the interval that holds a place are exact, and the interval shrinks to
+    the least and largest value of the part that holds it, until it is one value. Every round is one
+    aggregation with map-side partials, and places share it; only counts reach the driver. Keep ``values``
+    where it is cheap to read again.
+    """
+    v = F.col(values.columns[0])
+    low, high, n = values.where(~F.isnan(v)).agg(F.min(v), F.max(v), F.count(v)).first()
+    # (low, high, values below low) of each place
+    open_ = {p: (low, high, 0) for p in places if p < n}
+    while wide := sorted({o for o in open_.values() if o[0] < o[1]}):
+        place = F.lit(None).cast("struct<i:int,part:int>")
+        for i, (a, b, _) in enumerate(wide):
+            # halves where the distance of two doubles is none; the largest value has a part of its own
+            by = 1.0 if math.isfinite(b - a) else 2.0
+            share = (v / by - F.lit(a / by)) / F.lit(b / by - a / by)
+            part = F.when(v == b, PROBES).otherwise(F.least(F.floor(share * PROBES), F.lit(PROBES - 1)))
+            place = F.when((v >= a) & (v <= b), F.struct(F.lit(i).alias("i"), part.cast("int").alias("part"))).otherwise(place)
+        counted = values.select(v.alias("v"), place.alias("place")).where("place is not null").groupBy("place").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        parts: dict[int, list] = {}
+        for r in sorted(counted.collect(), key=lambda r: tuple(r["place"])):
+            parts.setdefault(r["place"]["i"], []).append(r)
+        for p, (a, b, below) in open_.items():
+            if a < b:
+                for r in parts[wide.index((a, b, below))]:
+                    if p < below + r["n"]:
+                        open_[p] = (r["low"], r["high"], below)
+                        break
+                    below += r["n"]
+    return [open_[p][0] if p in open_ else float("nan") for p in places]
+
+
+def exact_median(values: DataFrame) -> float | None:
+    """The median of the one column of ``values``: the mean of the middle two for even counts, None for none."""
+    n = values.where(F.col(values.columns[0]).isNotNull()).count()
+    if not n:
+        return None
+    a, b = order_statistics(values, [(n - 1) // 2, n // 2])
+    return a if a == b else a / 2 + b / 2
+
+
 #: A prime whose squares fit a long; shuffles are worked out in numbers below it, which any SQL can follow.
 PRIME = (1 << 31) - 1
 HALF_ROUNDS = 6

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.frames import cut
+from tessera.functions.frames import cut, exact_median, numbered
 from tessera.operators.graph import build_graph
 from tessera.schema import require
 
@@ -83,10 +83,9 @@ def normalise_log1p(expr: DataFrame, target: float | None = None) -> DataFrame:
     """Values scaled to ``target`` a cell (the median positive total if none is given), then log(1 + v)."""
     totals = expr.groupBy("cell_id").agg(F.sum("value").alias("total"))
     if target is None:
-        goal = totals.where("total > 0").agg(F.median("total").alias("goal"))
-        scaled = expr.join(totals, "cell_id").join(F.broadcast(goal))  # one row
-    else:
-        scaled = expr.join(totals, "cell_id").withColumn("goal", F.lit(float(target)))
+        totals = cut(totals)
+        target = exact_median(totals.where("total > 0").select(F.col("total").cast("double")))
+    scaled = expr.join(totals, "cell_id").withColumn("goal", F.lit(target).cast("double"))
     value = F.when(F.col("total") > 0, F.col("value") * F.col("goal") / F.col("total")).otherwise(F.col("value"))
     return scaled.withColumn("value", F.log1p(value)).drop("total", "goal")
 
@@ -137,8 +136,8 @@ def category_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
     """``df`` with codes of the sorted distinct values, -1 for null (and NaN)."""
     value = F.col(column).cast("string")
     known = df.select(F.col(column).alias("_v")).where(F.col("_v").isNotNull() & (F.col("_v").cast("string") != "NaN")).distinct()
-    # distinct values only: the catalog of categories
-    codes = known.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("long").alias("_code"))
+    # ranges of the distinct values are numbered, wherever they lie
+    codes = numbered(known, "_v", name="_code")[0].withColumn("_code", F.col("_code").cast("long"))
     joined = df.join(codes, F.col(column) == F.col("_v"), "left")
     return joined.withColumn(out, F.when(value.isNull() | (value == "NaN"), -1).otherwise(F.coalesce("_code", F.lit(-1))).cast("long")).drop("_v", "_code")
 
@@ -148,7 +147,9 @@ def section_frames(cells: DataFrame) -> DataFrame:
     area = lambda: (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
     one = cells.groupBy("section_id").agg(area().alias("area"), *[f(a).alias(n + a) for a in ("x", "y") for f, n in ((F.min, "lo_"), (F.max, "hi_"))])
     total = (F.max("hi_x") - F.min("lo_x")) * (F.max("hi_y") - F.min("lo_y"))
-    got = one.agg(total.alias("global_area"), F.median("area").alias("section_area"), F.count(F.lit(1)).alias("n_sections"))
+    one = cut(one)
+    median = F.lit(exact_median(one.select(F.col("area").cast("double")))).cast("double")
+    got = one.agg(total.alias("global_area"), median.alias("section_area"), F.count(F.lit(1)).alias("n_sections"))
     ratio = F.try_divide(F.col("global_area"), F.nullif(F.col("section_area"), F.lit(0.0)))
     shared = F.coalesce((F.col("global_area") > 0) & (ratio < SHARED_FRAME), F.lit(False))
     return got.select("n_sections", "global_area", "section_area", F.coalesce(ratio, F.lit(float("nan"))).alias("ratio"), shared.alias("shared"))

@@ -569,9 +569,9 @@ def gene_moments(spark, sf):
     return rounded(features.gene_moments(views.expr(spark, sf), _expr_cells(spark, sf)), "mean", "sd")
 
 
-@query(with_views("expr", MOMENTS + f" SELECT cell_id, gene, value, {r9('(value - mean) / sd', 'z')} FROM expr JOIN m USING (gene)").replace(" expr AS (", " expr AS MATERIALIZED (").replace(" m AS (", " m AS MATERIALIZED ("))
+@query(with_views("expr", MOMENTS + f" SELECT e.cell_id, e.gene, e.value, {r9('(e.value - g.mean) / g.sd', 'z')} FROM expr e JOIN m g ON e.gene = g.gene"))
 def zscore(spark, sf):
-    return rounded(features.zscores(cut(views.expr(spark, sf)), _expr_cells(spark, sf)), "z")
+    return rounded(features.zscores(views.expr(spark, sf), _expr_cells(spark, sf)), "z")
 
 
 _PANEL_SQL = ", ".join(f"({i}, '{t}', '{g}')" for i, (t, genes) in enumerate(PANEL.items()) for g in genes)

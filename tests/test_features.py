@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import frames
 from tessera.operators import annotate, communication, features, outcome, prototypes
 from tessera.schema import SchemaError, validate_inputs, validate_outputs
 
@@ -115,3 +116,22 @@ def test_sections(spark):
     with pytest.raises(KeyError):
         features.resolve_sections(cells, "slice")
     assert features.resolve_sections(cells, "none")[1] is None
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, None, 5.0, 5.0, 1.0], [float("nan"), 1.0, -1e308, 1e308, 5e-324, 0.0], [], [None], [2.0] * 50 + [1.0] * 49, list(range(1000)), [10.0**k for k in range(-300, 300, 7)]])
+def test_exact_median_and_places(spark, values):
+    df = spark.createDataFrame([(None if v is None else float(v),) for v in values], "v double").repartition(3)
+    known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+    want = spark.createDataFrame(df.collect(), "v double").agg({"v": "median"}).first()[0]
+    got = frames.exact_median(df)
+    assert (got is None) == (want is None) and (got is None or got == pytest.approx(want, rel=1e-15))
+    places = list(range(0, len(known), max(1, len(known) // 5)))
+    assert all(a == b or (a != a and b != b) for a, b in zip(frames.order_statistics(df, places), [float(known[p]) for p in places], strict=True))
+
+
+def test_plans_without_single_tasks(spark):
+    """No percentile, and no window over all rows, behind normalisation and category codes."""
+    expr = spark.createDataFrame([(i, f"g{j}", float(i % 7 + j)) for i in range(50) for j in range(3)], "cell_id long, gene string, value double")
+    plan = lambda df: df._jdf.queryExecution().toString().lower()
+    assert "percentile" not in plan(features.normalise_log1p(expr)) and "median(" not in plan(features.normalise_log1p(expr))
+    assert "row_number" not in plan(features.category_codes(expr, "gene"))
