@@ -6,12 +6,11 @@ import math
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import cut
-from tessera.functions.geometry import delaunay_edges
+from tessera.functions.geometry import beyond, circles, delaunay_triangles, in_circle
 from tessera.schema import GraphError, require, validate_cells
 
 
@@ -97,7 +96,7 @@ def knn_tiles(cells: DataFrame, k: int) -> DataFrame:
     if largest > tile:
         tiles = cells.sparkSession.sparkContext.broadcast(_tiles(cells, sizes, tile, k))
         cells = cut(_tiled(cells, tiles, False).withColumn("block", F.pmod(F.xxhash64("cell_id"), F.col("blocks"))).drop("blocks"))
-        candidates = cut(candidates)
+        candidates = cut(candidates.repartitionByRange("section_id", "x", "cell_id").sortWithinPartitions("section_id", "x"))
     else:
         cells = cells.withColumn("tile", F.col("section_id")).withColumn("block", F.lit(0).cast("long"))
     waiting, borders, done = cells.withColumn("own", F.lit(True)), None, None
@@ -175,7 +174,11 @@ def _tiles(cells: DataFrame, sizes: DataFrame, tile: int, k: int) -> dict:
         lx, hx, ly, hy = corners[r["tile"]]
         area, side = (hx - lx) * (hy - ly), max(hx - lx, hy - ly)
         border[r["tile"]] = 2.0 * max(math.sqrt(area * (k + 1) / math.pi / r["n"]), side * (k + 1) / r["n"])
-    return plan | {"corners": corners, "section": section, "whole": whole, "border": border, "blocks": {r["tile"]: -(-r["n"] // (2 * tile)) for r in rows}}
+    held: dict = {name: [] for name in whole}
+    for t in sorted(corners):
+        held[section[t]].append(t)
+    boxes = {name: (np.array(some, np.int64), np.array([corners[t] for t in some]), np.array([border[t] for t in some])) for name, some in held.items()}
+    return plan | {"corners": corners, "section": section, "whole": whole, "border": border, "boxes": boxes, "blocks": {r["tile"]: -(-r["n"] // (2 * tile)) for r in rows}}
 
 
 def _tiled(cells: DataFrame, tiles, around: bool, borders=None) -> DataFrame:
@@ -187,11 +190,10 @@ def _tiled(cells: DataFrame, tiles, around: bool, borders=None) -> DataFrame:
         plan = tiles.value
         wide = None if borders is None else borders.value
         by_section: dict = {}
-        if around:
-            for t, c in plan["corners"].items():
-                h = plan["border"][t] if wide is None else wide.get(t)
-                if h is not None:
-                    by_section.setdefault(plan["section"][t], []).append((t, c[0] - h, c[1] + h, c[2] - h, c[3] + h))
+        for s, (names, corner, border) in plan.get("boxes", {}).items() if around else ():
+            h = border if wide is None else np.array([wide.get(t, np.nan) for t in names.tolist()])
+            some = ~np.isnan(h)
+            by_section[s] = names[some], corner[some] + h[some, None] * np.array([-1.0, 1.0, -1.0, 1.0])
         for batch in batches:
             section, x, y = (np.asarray(batch.column(c)) for c in ("section_id", "x", "y"))
             rows, names = [], []
@@ -199,7 +201,10 @@ def _tiled(cells: DataFrame, tiles, around: bool, borders=None) -> DataFrame:
                 own = np.flatnonzero(section == s)
                 if around:
                     own = own[np.argsort(x[own], kind="stable")]
-                    for t, lx, hx, ly, hy in by_section.get(s, ()):
+                    every, box = by_section[s]
+                    # only tiles that meet the box of these cells; cells come in order of x, so those are few strips
+                    meets = (box[:, 0] <= x[own].max()) & (box[:, 1] >= x[own].min()) & (box[:, 2] <= y[own].max()) & (box[:, 3] >= y[own].min())
+                    for t, (lx, hx, ly, hy) in zip(every[meets].tolist(), box[meets].tolist(), strict=True):
                         some = own[np.searchsorted(x[own], lx, "left") : np.searchsorted(x[own], hx, "right")]
                         some = some[(y[some] >= ly) & (y[some] <= hy)]
                         rows.append(some)
@@ -298,21 +303,175 @@ def _nearest(key: tuple, table, k: int, tiles, wide: dict):
     return pa.table([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(flat, kinds, strict=True)], names=["section_id", "src", "dst", "rank", "d2"])
 
 
+#: Cells of a tile that is triangulated at a time.
+DELAUNAY_TILE = 4096
+TRIED = "kind int, tile long, section_id long, src long, dst long, dist double, ax double, ay double, bx double, by double, cx double, cy double"
+EDGE, CIRCLE, LINE, WIDEN = range(4)
+
+
 def delaunay_graph(cells: DataFrame, *, check: bool = True) -> DataFrame:
-    """Symmetric Delaunay edges of each section in x and y; sections with fewer than 3 cells or all on a line have none."""
+    """Symmetric Delaunay edges (section_id, src, dst, dist) of each section in x and y; sections with fewer than 3 cells or all on a line have none.
+
+    Sections are cut into tiles (see ``knn_tiles``), triangulated each with the cells within a border. A
+    triangle is one of the whole section if no cell lies in its circle. Where the circle reaches beyond the
+    border, and where an edge is on the tile's hull, the tiles there are asked for the cell deepest in the
+    circle (or farthest beyond the edge) and for others on it; a tile that gets new cells is triangulated
+    again with them, until none does. So results are those of the whole section at once, also along its
+    hull; several cells on one empty circle are joined in a way that depends on them alone. Of coincident
+    cells the least id stands for all. Cells with a z have no such graph: that is an error, not a projection.
+    """
     if check:
         _checked(cells)
+    if "z" in cells.columns and not cells.where(F.col("z").isNotNull() & ~F.isnan(F.col("z").cast("double"))).isEmpty():
+        raise GraphError("cells have a z: there is no triangulation in space here; drop z, or take nearest neighbours")
+    rows = cells.select(F.col("cell_id").cast("long").alias("cell_id"), F.col("section_id").cast("long").alias("section_id"), *[F.col(a).cast("double").alias(a) for a in "xy"])
+    rows = cut(rows.groupBy("section_id", "x", "y").agg(F.min("cell_id").alias("cell_id")).select("cell_id", "section_id", "x", "y"))
+    sizes = rows.groupBy("section_id").agg(F.count(F.lit(1)).alias("m"))
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    if not total:
+        return rows.select("section_id", F.col("cell_id").alias("src"), F.col("cell_id").alias("dst"), F.lit(0.0).alias("dist"))
+    context = rows.sparkSession.sparkContext
+    tiles = context.broadcast(_tiles(rows, sizes, max(DELAUNAY_TILE, -(-total // MOST_TILES)), 8))
+    ordered = cut(rows.repartitionByRange("section_id", "x", "cell_id").sortWithinPartitions("section_id", "x"))
+    own = cut(_tiled(ordered, tiles, False).drop("blocks"))
+    near = lambda borders: _tiled(ordered, tiles, True, borders).drop("blocks").withColumn("own", F.lit(False))
+    local, borders, done = own.withColumn("own", F.lit(True)).unionByName(near(None)), {}, None
+    while True:
+        found = cut(local.groupBy("tile").applyInArrow(_try_tile(tiles, context.broadcast(dict(borders))), TRIED))
+        edges = found.where(F.col("kind") == EDGE)
+        asked = found.where(F.col("kind").isin(CIRCLE, LINE))
+        told = asked.mapInArrow(_meeting(tiles), TRIED + ", target long").groupBy("target").cogroup(own.groupBy("tile")).applyInArrow(_answer, "tile long, cell_id long, section_id long, x double, y double")
+        more = told.distinct().withColumn("own", F.lit(False))
+        wider = {r["tile"]: 4 * borders.get(r["tile"], tiles.value["border"][r["tile"]]) + 1e-3 * max(np.ptp(np.reshape(tiles.value["whole"][r["section_id"]], (2, 2)), axis=1)) for r in found.where(F.col("kind") == WIDEN).select("tile", "section_id").collect()}  # a row a tile at most
+        if wider:
+            borders |= wider
+            more = more.unionByName(near(context.broadcast(wider)).select(*more.columns))
+        new = cut(more.join(local.select("tile", "cell_id"), ["tile", "cell_id"], "left_anti"))
+        again = new.select("tile").distinct()
+        if wider:
+            again = again.union(rows.sparkSession.createDataFrame([(t,) for t in wider], "tile long")).distinct()
+        again = cut(again)
+        settled = edges.join(F.broadcast(again), "tile", "left_anti").select("section_id", "src", "dst", "dist")
+        done = settled if done is None else done.unionByName(settled)
+        if again.isEmpty():
+            return done
+        local = cut(local.unionByName(new.select(*local.columns)).join(F.broadcast(again), "tile", "left_semi"))
+
+
+def _table(kind: int, tile: int, section: int, n: int, **columns):
+    import pyarrow as pa
+
+    kinds = {"src": pa.int64(), "dst": pa.int64()}
+    given = {"kind": pa.array(np.full(n, kind, np.int32)), "tile": pa.array(np.full(n, tile, np.int64)), "section_id": pa.array(np.full(n, section, np.int64))}
+    for name in ("src", "dst", "dist", "ax", "ay", "bx", "by", "cx", "cy"):
+        given[name] = pa.array(columns[name], kinds.get(name, pa.float64())) if name in columns else pa.nulls(n, kinds.get(name, pa.float64()))
+    return pa.table(given)
+
+
+def _try_tile(tiles, borders):
+    """Edges of a tile's own cells as its cells and those around it give them, and what has to be asked to be sure of them."""
+
+    def run(key, table):
+        import pyarrow as pa
 
-    def triangulate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("cell_id")
-        ids = part["cell_id"].to_numpy()
-        points = part[["x", "y"]].to_numpy(np.float64)
-        pairs = np.array(sorted(delaunay_edges(points)), np.int64).reshape(-1, 2)
-        both = np.concatenate([pairs, pairs[:, ::-1]])
+        name = key[0].as_py()
+        plan = tiles.value
+        section = plan["section"][name]
+        ids, mine = np.asarray(table.column("cell_id")), np.asarray(table.column("own"))
+        order = np.lexsort((~mine, ids))
+        order = order[np.concatenate([[True], ids[order][1:] != ids[order][:-1]])]
+        ids, mine = ids[order], mine[order]
+        points = np.stack([np.asarray(table.column(c))[order] for c in "xy"], axis=1)
+        lx, hx, ly, hy = plan["corners"][name]
+        h = borders.value.get(name, plan["border"][name])
+        wx, vx, wy, vy = plan["whole"][section]
+        # what lies beyond the section needs no border
+        cover = (-np.inf if lx - h <= wx else lx - h, np.inf if hx + h >= vx else hx + h, -np.inf if ly - h <= wy else ly - h, np.inf if hy + h >= vy else hy + h)
+        every = bool(np.isinf(cover).all())
+        triangles = delaunay_triangles(points)
+        if not len(triangles):
+            return _table(WIDEN, name, section, int(not every))
+        sides = np.concatenate([triangles[:, [0, 1]], triangles[:, [1, 2]], triangles[:, [2, 0]]])
+        both = np.unique(np.concatenate([sides, sides[:, ::-1]]), axis=0)
+        both = both[mine[both[:, 0]]]
         dist = np.sqrt(((points[both[:, 0]] - points[both[:, 1]]) ** 2).sum(axis=1))
-        return pd.DataFrame({"section_id": np.full(len(both), key[0]), "src": ids[both[:, 0]], "dst": ids[both[:, 1]], "dist": dist})
+        out = [_table(EDGE, name, section, len(both), src=ids[both[:, 0]], dst=ids[both[:, 1]], dist=dist)]
+        if not every:
+            touched = triangles[mine[triangles].any(axis=1)]
+            x, y, r2 = circles(points, touched).T
+            r = np.sqrt(r2) * (1 + 1e-9)
+            open_ = touched[~((x - r > cover[0]) & (x + r < cover[1]) & (y - r > cover[2]) & (y + r < cover[3]))]
+            corner = points[open_].reshape(len(open_), 6).T
+            out.append(_table(CIRCLE, name, section, len(open_), **dict(zip(("ax", "ay", "bx", "by", "cx", "cy"), corner, strict=True))))
+            # a side without its reverse is on the hull, with all else to its left
+            code = sides[:, 0] * len(ids) + sides[:, 1]
+            hull = sides[~np.isin(sides[:, 1] * len(ids) + sides[:, 0], code)]
+            hull = hull[mine[hull].any(axis=1)]
+            corner = points[hull].reshape(len(hull), 4).T
+            out.append(_table(LINE, name, section, len(hull), **dict(zip(("ax", "ay", "bx", "by"), corner, strict=True))))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _meeting(tiles):
+    """Questions with each ``target``: tiles that the circle, or what is beyond the line, meets. A question's own tile is one of them."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        boxes = tiles.value["boxes"]
+        for batch in batches:
+            at, to = [], []
+            question = {c: np.asarray(batch.column(batch.schema.get_field_index(c))) for c in ("kind", "section_id", "ax", "ay", "bx", "by", "cx", "cy")}
+            corner = np.stack([question[c] for c in ("ax", "ay", "bx", "by", "cx", "cy")], axis=1).astype(np.float64).reshape(-1, 3, 2)
+            circle = circles(corner.reshape(-1, 2), np.arange(3 * len(corner)).reshape(-1, 3)) if len(corner) else np.zeros((0, 3))
+            for k in range(batch.num_rows):
+                names, box, _ = boxes[question["section_id"][k]]
+                if question["kind"][k] == LINE:
+                    ends = [np.stack([box[:, i], box[:, j]], axis=1) for i in (0, 1) for j in (2, 3)]
+                    meets = np.max([beyond(corner[k, 0], corner[k, 1], e) for e in ends], axis=0) >= 0
+                elif np.isinf(circle[k, 2]):
+                    meets = np.ones(len(names), bool)
+                else:
+                    x, y, r2 = circle[k]
+                    dx = np.maximum(np.maximum(box[:, 0] - x, x - box[:, 1]), 0)
+                    dy = np.maximum(np.maximum(box[:, 2] - y, y - box[:, 3]), 0)
+                    meets = np.sqrt(dx * dx + dy * dy) <= np.sqrt(r2) * (1 + 1e-9)
+                some = names[meets]
+                at.append(np.full(len(some), k))
+                to.append(some)
+            at, to = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (at, to))
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(to, pa.int64())], names=[*batch.schema.names, "target"])
+
+    return run
+
 
-    return cells.groupBy("section_id").applyInPandas(triangulate, "section_id long, src long, dst long, dist double")
+def _answer(questions, cells):
+    """(tile, cell): for each question the target's cell deepest within, and its cells on the circle or, between the ends, on the line."""
+    import pyarrow as pa
+
+    schema = pa.schema([("tile", pa.int64()), ("cell_id", pa.int64()), ("section_id", pa.int64()), ("x", pa.float64()), ("y", pa.float64())])
+    if not questions.num_rows or not cells.num_rows:
+        return schema.empty_table()
+    points = np.stack([np.asarray(cells.column(c)) for c in "xy"], axis=1)
+    tile, found = [], []
+    for q in questions.to_pylist():
+        a, b = np.array([q["ax"], q["ay"]]), np.array([q["bx"], q["by"]])
+        if q["kind"] == LINE:
+            level = beyond(a, b, points)
+            along = ((points - a) * (b - a)).sum(axis=1)
+            level = np.where((level == 0) & ((along <= 0) | (along >= ((b - a) ** 2).sum())), -1.0, level)
+        else:
+            level = in_circle(a, b, np.array([q["cx"], q["cy"]]), points)
+        at = np.flatnonzero(level == 0)
+        if level.max() > 0:
+            at = np.append(at, level.argmax())
+        found.append(at)
+        tile.append(np.full(len(at), q["tile"]))
+    at = np.concatenate(found)
+    got = cells.select(["cell_id", "section_id", "x", "y"]).take(pa.array(at))
+    return pa.table([pa.array(np.concatenate(tile), pa.int64()), *got.columns], schema=schema)
 
 
 def symmetrised(edges: DataFrame) -> DataFrame:
