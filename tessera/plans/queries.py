@@ -16,7 +16,7 @@ from tessera.functions.frames import HALF_ROUNDS, PRIME, cut
 from tessera.operators import agreement, annotate, cluster, communication, encoder, features, graph, model, outcome, prototypes, spatial
 from tessera.plans import report, runs
 from tessera.schema import edges_out_of_range
-from tessera.sources import registry, synthetic, views
+from tessera.sources import views
 from tessera.sources.views import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -685,11 +685,6 @@ def silhouette(spark, sf):
     return cluster.silhouette(_embedded(spark, sf), views.proto_emb(spark, sf), "h").select((F.round("silhouette", 7) + 0.0).alias("silhouette"))
 
 
-@query()
-def pca(spark, sf):
-    return cluster.pca(_embedded(spark, sf), 8, "h")
-
-
 # the scores on all components hold what the centred rows hold: the trace of their scatter and of its square
 SPECTRUM = ", m AS (SELECT gene_id, avg(value) AS m FROM features_emb GROUP BY 1), x AS MATERIALIZED (SELECT cell_id, gene_id, value - m AS v FROM features_emb JOIN m USING (gene_id)), c AS (SELECT a.gene_id AS i, b.gene_id AS j, sum(a.v * b.v) AS c FROM x a JOIN x b USING (cell_id) GROUP BY 1, 2)"
 
@@ -701,9 +696,30 @@ def pca_spectrum(spark, sf):
     return strength.agg((F.round(F.sum("s"), 6) + 0.0).alias("trace"), (F.round(F.sum(F.col("s") * F.col("s")) / F.sum("s"), 6) + 0.0).alias("spread"))
 
 
-@query()
+def _components_sql(k: int, squarings: int = 18) -> str:
+    """``scores`` (cell_id, component, score): leading components by squaring the scatter matrix again and again, which leaves the strongest, and taking each off it."""
+    out = SPECTRUM.replace(", c AS (", ", c0 AS MATERIALIZED (")
+    for t in range(k):
+        out += f", p{t}_0 AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FILTER (i = j) FROM c{t}) AS c FROM c{t})"
+        for n in range(squarings):
+            out += f", s{t}_{n} AS MATERIALIZED (SELECT a.i, b.j, sum(a.c * b.c) AS c FROM p{t}_{n} a JOIN p{t}_{n} b ON a.j = b.i GROUP BY 1, 2), p{t}_{n + 1} AS MATERIALIZED (SELECT i, j, c / (SELECT sum(c) FILTER (i = j) FROM s{t}_{n}) AS c FROM s{t}_{n})"
+        last = f"p{t}_{squarings}"
+        out += f", u{t} AS MATERIALIZED (SELECT i, c / sqrt((SELECT sum(c * c) FROM {last} WHERE j = (SELECT arg_max(i, c) FROM {last} WHERE i = j))) AS u FROM {last} WHERE j = (SELECT arg_max(i, c) FROM {last} WHERE i = j))"
+        out += f", v{t} AS MATERIALIZED (SELECT i, u * sign((SELECT arg_max(u, abs(u)) FROM u{t})) AS v FROM u{t}), l{t} AS (SELECT sum(a.v * c * b.v) AS l FROM c{t} JOIN v{t} a USING (i) JOIN v{t} b ON b.i = c{t}.j)"
+        out += f", c{t + 1} AS MATERIALIZED (SELECT c{t}.i, j, c - l * a.v * b.v AS c FROM c{t} JOIN v{t} a USING (i) JOIN v{t} b ON b.i = c{t}.j, l{t})"
+    every = " UNION ALL ".join(f"SELECT {t} AS component, i, v FROM v{t}" for t in range(k))
+    return out + f", scores AS (SELECT cell_id, CAST(component AS INTEGER) AS component, sum(x.v * w.v) AS score FROM x JOIN ({every}) w ON w.i = x.gene_id GROUP BY 1, 2)"
+
+
+@query(with_views("features_emb", _components_sql(8) + " SELECT cell_id, component, round(score, 6) + 0.0 AS score FROM scores"))
+def pca(spark, sf):
+    scores = cluster.pca(_embedded(spark, sf), 8, "h").select("cell_id", F.posexplode("features").alias("component", "score"))
+    return scores.withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query(with_views("features_emb", _components_sql(2) + " SELECT cell_id, round(max(score) FILTER (component = 0), 6) + 0.0 AS px, round(max(score) FILTER (component = 1), 6) + 0.0 AS py FROM scores GROUP BY 1"))
 def projection_2d(spark, sf):
-    return cluster.projection(_embedded(spark, sf), "h")
+    return cluster.projection(_embedded(spark, sf), "h").select("cell_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("px", "py")])
 
 
 def _kmeans_sql(k: int, iterations: int, seed: int = 0) -> str:
@@ -761,20 +777,9 @@ def supervised_table(spark, sf):
     return model.supervised_table(_embedded(spark, sf), labels.select("cell_id", "prototype_id"), labels.withColumnRenamed("section_id", "label"), ["label"], [0, 1], column="h")
 
 
-@query()
-def synthetic_niches(spark, sf):
-    made = synthetic.generate(spark, n_sections=2, cells_per_section=60, n_genes=40, n_conserved=3, n_specific=1, n_pairs=1, n_decoys=1)
-    return made.truth.join(made.cells, "cell_id")
-
-
 # --- reports and catalogs --------------------------------------------------------------------------
 
 
-@query()
-def dataset_registry(spark, sf):
-    return registry.listing(spark)
-
-
 @query(EMB + ENDS + ", m AS (SELECT avg(prototype_id) AS mean, var_pop(prototype_id) AS v FROM proto_emb) SELECT 'argmax' AS method, " + ", ".join(f"CAST(NULL AS DOUBLE) AS {c}" for c in report.LEADERBOARD if c != "niche_morans_i") + f", {r9('avg((a - mean) * (b - mean)) / max(v)', 'niche_morans_i')} FROM ends, m")
 def leaderboard(spark, sf):
     folder = tempfile.mkdtemp(prefix="tessera-report-")
