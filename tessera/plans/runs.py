@@ -81,11 +81,11 @@ def pca_baseline_silhouette(expr: DataFrame, n_genes: int, assigned: DataFrame,
     return cluster.silhouette(cluster.pca(features.wide(expr, n_genes), n_components), assigned).first()[0]
 
 
-def stability(cells: DataFrame, expr: DataFrame, edges: DataFrame, *, n_genes: int, config: model.NicheModelConfig | None = None, n_seeds: int = 5, thresholds: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(seed stability, coverage sweep, matching): the whole model, encoder included, is fitted anew for each seed.
+def stability(cells: DataFrame, expr: DataFrame, edges: DataFrame, *, n_genes: int, config: model.NicheModelConfig | None = None, n_seeds: int = 5, thresholds: tuple[float, ...] = (1.0, 0.9, 0.8, 0.7, 0.6, 0.5)) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
+    """(seed stability, coverage sweep, matching, pairs): the whole model, encoder included, is fitted anew for each seed.
 
     Seeds count up from the config's; their encoders train in the same jobs. The sweep is of the first fit, the matching (proto_a, proto_b,
-    overlap) of the first two; None with one.
+    overlap) of the first two; None with one. Pairs (a, b, ari) are all ordered pairs of fits, each with itself too.
     """
     config = config or model.NicheModelConfig(k=GRAPH_K)
     encoders = [replace(config.encoder, seed=config.encoder.seed + s) for s in range(n_seeds)]
@@ -100,10 +100,11 @@ def stability(cells: DataFrame, expr: DataFrame, edges: DataFrame, *, n_genes: i
     if n_seeds > 1:
         a, b = (run.select("cell_id", F.col("prototype_id").alias(name)) for run, name in zip(runs[:2], "ab", strict=True))
         matched = agreement.matching(a.join(b, "cell_id"), "a", "b")
-    return agreement.seed_stability(agreement.pairwise_ari(every)), prototypes.coverage_sweep(runs[0].join(cells.select("cell_id", "section_id"), "cell_id"), thresholds), matched
+    pairs = cut(agreement.pairwise_ari(every))
+    return agreement.seed_stability(pairs), prototypes.coverage_sweep(runs[0].join(cells.select("cell_id", "section_id"), "cell_id"), thresholds), matched, pairs
 
 
-def stability_run(loaded: tables.Loaded, *, n_seeds: int = 5, n_prototypes: int = 10, seed: int = 0, epochs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def stability_run(loaded: tables.Loaded, *, n_seeds: int = 5, n_prototypes: int = 10, seed: int = 0, epochs: int = 30) -> tuple[DataFrame, DataFrame, DataFrame | None, DataFrame]:
     """``stability`` of fits like those of ``fit_run``."""
     edges = cut(build_graph(loaded.cells, GRAPH_K))
     encoder = EncoderConfig(seed=seed, batch_size=features.effective_batch_size(0, loaded.cells.count()), epochs=epochs)
@@ -286,9 +287,9 @@ def main(argv: list[str] | None = None) -> int:
         pairs = tables.read_table(spark, args.pairs) if args.pairs else communication.key_table(spark, [p.split(",") for p in args.pair])
         ligrec_run(spark, loaded.expr, loaded.cells, args.cluster_col, pairs, f"{args.results_dir}/ligrec", args.permutations)
     elif args.command == "stability":
-        found, sweep_, matched = stability_run(loaded, n_seeds=args.n_seeds, n_prototypes=args.n_prototypes, seed=args.seed)
+        found, sweep_, matched, pairs = stability_run(loaded, n_seeds=args.n_seeds, n_prototypes=args.n_prototypes, seed=args.seed)
         matching = [] if matched is None else [r.asDict() for r in matched.orderBy("proto_a").collect()]
-        report.emit_stability(found.first().asDict(), [r.asDict() for r in sweep_.orderBy(F.desc("coverage")).collect()], args.results_dir, matching)
+        report.emit_stability(found.first().asDict(), [r.asDict() for r in sweep_.orderBy(F.desc("coverage")).collect()], args.results_dir, matching, report.square(pairs.collect()))
     else:
         result, _, metrics = fit_run(loaded, n_prototypes=args.n_prototypes, seed=args.seed, epochs=args.epochs, batch_size=args.batch_size, max_seconds=args.max_seconds)
         took, batch = metrics.pop("runtime_s"), metrics.pop("batch_size")

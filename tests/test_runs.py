@@ -65,6 +65,8 @@ def test_stability_refits_the_model_for_each_seed(spark, saved, tmp_path, monkey
     first, second = (sorted((r["cell_id"], *r["h"]) for r in got.embeddings.collect()) for _, got in fits)
     written = json.loads((tmp_path / "niche_stability.json").read_text())
     assert first != second and written["seed_stability"]["n_pairs"] == 1
+    matrix = written["ari_matrix"]
+    assert len(matrix) == 2 and matrix[0][0] == matrix[1][1] == pytest.approx(1.0) and matrix[0][1] == matrix[1][0] == pytest.approx(written["seed_stability"]["mean_ari"])
     pairs = written["prototype_matching_seed0_seed1"]
     assert len(pairs) == 3 and all(r["overlap"] == sum(a[c] == r["proto_a"] and b[c] == r["proto_b"] for c in a) for r in pairs)
     assert written["seed_stability"]["mean_ari"] == pytest.approx(1.0) or sum(r["overlap"] for r in pairs) < len(a)
