@@ -14,6 +14,7 @@ from tessera.operators.features import QcReport, apply_qc, category_codes, count
 from tessera.operators.graph import build_graph
 from tessera.operators.model import NicheModelResult
 from tessera.schema import validate_inputs
+from tessera.sources import chunked
 
 
 @dataclass
@@ -29,8 +30,11 @@ class Loaded:
 CSV_KINDS = {"cell_id": "long", "section_id": "long", "x": "double", "y": "double", "z": "double", "gene_id": "int", "value": "double", "prototype_id": "long"}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, ORC, CSV (with a header) or JSON lines, by the path's ending; HDF5 and zarr need converting first."""
+def read_table(spark: SparkSession, path: str, *, expression: bool = False) -> DataFrame:
+    """Parquet, ORC, CSV (with a header), JSON lines, zarr or Matrix Market, by the path's ending; HDF5 needs converting first.
+
+    A zarr store holds cells (obs, places) and expression (X): ``expression`` says which is wanted.
+    """
     ending = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if ending == "csv":
         # text columns take the kinds of the table contracts; no pass over the file to guess them
@@ -40,7 +44,11 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
         return spark.read.json(path)
     if ending == "orc":
         return spark.read.orc(path)
-    if ending in ("h5", "h5ad", "zarr"):
+    if ending == "zarr":
+        return chunked.expression(spark, path) if expression else chunked.cells(spark, path)
+    if ending == "mtx":
+        return chunked.matrix_market(spark, path)
+    if ending in ("h5", "h5ad"):
         raise ValueError(f"{path}: convert to Parquet tables of cells and expression first")
     return spark.read.parquet(path)
 
@@ -50,7 +58,7 @@ def load_dataset(spark: SparkSession, cells_path: str, expr_path: str, *, alread
 
     Control comes before normalisation, whose target is the median of what is kept.
     """
-    cells, expr = read_table(spark, cells_path), read_table(spark, expr_path)
+    cells, expr = read_table(spark, cells_path), read_table(spark, expr_path, expression=True)
     if not {"x", "y"} <= set(cells.columns):
         raise KeyError("cells have no coordinates x and y")
     notes, report = [], None
