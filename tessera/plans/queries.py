@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import HALF_ROUNDS, PRIME, cut
-from tessera.operators import agreement, annotate, cluster, communication, encoder, features, graph, model, outcome, prototypes, spatial
+from tessera.operators import agreement, annotate, cluster, communication, encoder, features, graph, layout, model, outcome, prototypes, spatial
 from tessera.plans import report, runs
 from tessera.schema import edges_out_of_range
 from tessera.sources import views
@@ -722,6 +722,19 @@ def projection_2d(spark, sf):
     return cluster.projection(_embedded(spark, sf), "h").select("cell_id", *[(F.round(c, 6) + 0.0).alias(c) for c in ("px", "py")])
 
 
+NEAR = "WITH v AS (SELECT min(vec_id) AS cell_id, CAST(embedding AS DOUBLE[]) AS h FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding), p AS (SELECT a.cell_id AS src, b.cell_id AS dst, list_distance(a.h, b.h) AS dist FROM v a, v b WHERE a.cell_id <> b.cell_id), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM p)"
+
+
+@query(NEAR + " SELECT src, dst, CAST(rank AS INTEGER) AS rank, round(dist, 9) + 0.0 AS dist FROM r WHERE rank <= 15")
+def embedding_neighbours(spark, sf):
+    return rounded(layout.embedding_neighbours(_embedded(spark, sf), 15, column="h"), "dist")
+
+
+@query()
+def planar_layout(spark, sf):
+    return layout.planar_layout(_embedded(spark, sf), 15, column="h")
+
+
 def _kmeans_sql(k: int, iterations: int, seed: int = 0) -> str:
     """``named`` (cell_id, prototype_id): starts drawn by squared distance, then assignments and means on the sphere."""
     out = ", raw AS (SELECT vec_id AS cell_id, CAST(embedding AS DOUBLE[]) AS h FROM embeddings), x AS MATERIALIZED (SELECT cell_id, list_transform(h, lambda v: v / sqrt(list_dot_product(h, h))) AS h FROM raw)"

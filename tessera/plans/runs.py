@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import cut
-from tessera.operators import agreement, annotate, cluster, communication, features, model, outcome, prototypes, spatial
+from tessera.operators import agreement, annotate, cluster, communication, features, layout, model, outcome, prototypes, spatial
 from tessera.operators.encoder import EncoderConfig
 from tessera.operators.graph import build_graph
 from tessera.plans import report
@@ -162,6 +162,17 @@ def further_run(spark: SparkSession, fit: str, loaded: tables.Loaded, folder: st
     return values
 
 
+def layout_run(spark: SparkSession, fit: str, folder: str, k: int = 15, seed: int = 0) -> dict[str, float]:
+    """What a plot of a written fit shows: (cell_id, px, py, prototype_id) as Parquet, and how many neighbours it and the two leading components keep."""
+    h, assigned, _ = tables.read_fit(spark, fit)
+    near = cut(layout.embedding_neighbours(h, k, seed=seed, column="h"))
+    layout.planar_layout(h, k, seed=seed, column="h", neighbours=near).join(assigned, "cell_id").write.mode("overwrite").parquet(f"{folder}/layout")
+    placed = {"layout": spark.read.parquet(f"{folder}/layout"), "components": cluster.projection(h, "h")}
+    found = {f"preserved_by_{name}": layout.preservation(near, points).first()["preserved"] for name, points in placed.items()}
+    report.write_json(Path(folder, "layout.json"), report.coerce_metrics(found))
+    return found
+
+
 def supervised_run(result: model.NicheModelResult, cells: DataFrame, columns: list[str], folder: str, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Scores against reference columns of the cells, beside k-means at the same number of classes; a secondary result."""
     table = cut(model.supervised_table(result.embeddings, result.assignments, cells, columns, list(seeds), column="h"))
@@ -234,6 +245,11 @@ def main(argv: list[str] | None = None) -> int:
             c.add_argument("--n-components", type=int, default=32)
         if name == "stability":
             c.add_argument("--n-seeds", type=int, default=5)
+    c = commands.add_parser("layout")
+    c.add_argument("--fit", required=True)
+    c.add_argument("--neighbours", type=int, default=15)
+    c.add_argument("--seed", type=int, default=0)
+    c.add_argument("--out", default="results")
     s = commands.add_parser("synthetic")
     s.add_argument("--seed", type=int, default=0)
     for name in ("leaderboard", "scalability"):
@@ -272,6 +288,10 @@ def main(argv: list[str] | None = None) -> int:
         for k, v in synthetic_metrics(spark, args.seed).items():
             print(f"{k}: {v:.4f}")
         return 0
+    if args.command == "layout":
+        for k, v in layout_run(spark, args.fit, args.out, args.neighbours, args.seed).items():
+            print(f"{k}: {v:.4f}")
+        return 0
     loaded = tables.load_dataset(spark, args.cells, args.expr, already_normalized=args.already_normalized, section_col=args.section_col, min_counts=args.min_counts, min_genes=args.min_genes, qc=args.command != "baseline")
     card = features.dataset_card_id([args.cells])
     meta = {"n_obs": loaded.cells.count(), "n_vars": loaded.n_genes, "seed": args.seed, "dataset_paths": [args.cells, args.expr], "notes": "; ".join(loaded.notes)}

@@ -85,6 +85,10 @@ def test_further_sweep_and_ligrec_commands(spark, saved, tmp_path):
     assert all(spark.read.parquet(str(more / n)).count() for n in ("composition", "colocation", "markers"))
     assert [r["k"] for r in json.loads((more / "k_sweep.json").read_text())] == [5, 6] and len(json.loads((more / "per_niche_morans_i.json").read_text())) >= 2
     assert json.loads((more / "further_metrics.json").read_text())["pca_silhouette"] is not None
+    assert runs.main(["layout", "--fit", str(outputs), "--neighbours", "5", "--out", str(more)]) == 0
+    assert spark.read.parquet(str(more / "layout")).where("px is not null and prototype_id is not null").count() == 120
+    kept = json.loads((more / "layout.json").read_text())
+    assert kept["preserved_by_layout"] > 0 and kept["preserved_by_components"] > 0
     assert runs.main(["sweep", *common, "--results-dir", str(tmp_path / "sweep"), "--epochs", "1", "--d", "2", "3", "--tau", "0.2", "--n-prototypes", "2"]) == 0
     summary = json.loads((tmp_path / "sweep" / "sweep_summary.json").read_text())
     assert [r["knobs"]["d"] for r in summary] == [2, 3] and all(r["status"] == "ok" and json.loads((tmp_path / "sweep" / r["run_id"] / "run.json").read_text()) == r for r in summary)
