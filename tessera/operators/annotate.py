@@ -39,7 +39,7 @@ def marker_scores(expr: DataFrame, cells: DataFrame, panel: DataFrame, method: s
     shift = F.col("mean") if method == "zscore" else F.lit(0.0)
     weighed = genes.select("type_pos", "cell_type", gene, (F.col("times") * scale).alias("w"), (F.col("times") * scale * shift).alias("c"), "times")
     types = weighed.groupBy("type_pos", "cell_type").agg(F.sum("times").alias("markers"), F.sum("c").alias("constant"))
-    sums = expr.join(F.broadcast(weighed), gene).groupBy("cell_id", "type_pos").agg(F.sum(F.col("value") * F.col("w")).alias("total"))
+    sums = expr.join(weighed, gene).groupBy("cell_id", "type_pos").agg(F.sum(F.col("value") * F.col("w")).alias("total"))
     grid = cells.select("cell_id").join(F.broadcast(types))  # cells times panel types: the scores' own size
     score = (F.coalesce("total", F.lit(0.0)) - F.col("constant")) / F.col("markers")
     return grid.join(sums, ["cell_id", "type_pos"], "left").select("cell_id", "type_pos", "cell_type", score.alias("score"))
@@ -64,7 +64,8 @@ def marker_annotation(expr: DataFrame, cells: DataFrame, markers: dict[str, list
     if unassigned in markers:
         raise ValueError(f"{unassigned!r} is also a type")
     if genes is None:
-        genes = [r[0] for r in expr.select(gene).distinct().collect()]
+        listed = sorted({g for panel in markers.values() for g in panel})
+        genes = [r[0] for r in expr.where(F.col(gene).isin(listed)).select(gene).distinct().collect()]  # at most the panel's
     known = set(genes)
     used = {t: [g for g in panel if g in known] for t, panel in markers.items()}
     missing = {t: [g for g in panel if g not in known] for t, panel in markers.items()}
