@@ -241,7 +241,8 @@ def planar_layout(rows: DataFrame, k: int = 15, *, rounds: int = 10, epochs: int
     Starts at the two leading components, then pulls along weighted edges (``fuzzy_edges``) and pushes from
     vectors drawn out of the whole table. A round moves positions (never vectors) to the tiles that have an
     edge to them; each tile works out ``epochs`` epochs for its own vectors while the others' stay, and hands
-    on its positions. The most a task holds is a tile with its edges. Reruns agree.
+    on its positions. A task holds a tile with its edges, of which a vector that
+    very many others name may have many. Reruns agree.
     """
     vectors = cut(distinct_vectors(rows, column))
     n = vectors.count()
