@@ -109,7 +109,8 @@ def rank_sum_scores(expr: DataFrame, assignments: DataFrame, gene: str = "gene")
     grid = genes.join(sizes)  # genes times prototypes: the result's own size
     met = grid.join(sums, ["prototype_id", gene], "left").na.fill(0, ["r", "k", "total"])
     rank_sum = F.col("r") + (F.col("m") - F.col("k")) * F.col("zero_rank")
-    spread = F.sqrt(F.col("m") * (F.col("n") - F.col("m")) * (F.col("n") + 1) / 12)
+    # the product of three counts is past a long from some four million cells on
+    spread = F.sqrt(F.col("m") * (F.col("n") - F.col("m")) * (F.col("n") + 1).cast("double") / 12)
     z = F.coalesce(F.try_divide(rank_sum - F.col("m") * (F.col("n") + 1) / 2, F.nullif(spread, F.lit(0.0))), F.lit(0.0))
     return met.select("prototype_id", gene, rank_sum.alias("rank_sum"), z.alias("z"), (F.col("total") / F.col("m")).alias("mean_in"), F.coalesce(F.try_divide(F.col("all_total") - F.col("total"), F.col("n") - F.col("m")), F.lit(0.0)).alias("mean_out"))
 

@@ -135,3 +135,14 @@ def test_plans_without_single_tasks(spark):
     plan = lambda df: df._jdf.queryExecution().toString().lower()
     assert "percentile" not in plan(features.normalise_log1p(expr)) and "median(" not in plan(features.normalise_log1p(expr))
     assert "row_number" not in plan(features.category_codes(expr, "gene"))
+
+
+def test_rank_sums_of_millions_of_cells(spark):
+    """The spread multiplies three counts, which is past a long here."""
+    n = 4_200_000
+    cells = spark.range(n).select(F.col("id").alias("cell_id"), (F.col("id") % 2).alias("prototype_id"))
+    expr = spark.createDataFrame([(i, "g", 1.0) for i in range(0, 20, 2)], "cell_id long, gene string, value double")
+    got = {r["prototype_id"]: r for r in annotate.rank_sum_scores(expr, cells).collect()}
+    spread = math.sqrt(n * n / 4 * (n + 1.0) / 12)
+    assert got[0]["rank_sum"] + got[1]["rank_sum"] == n * (n + 1) / 2
+    assert got[0]["z"] == pytest.approx(10 * n / 4 / spread) and got[1]["z"] == pytest.approx(-10 * n / 4 / spread)
