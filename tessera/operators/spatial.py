@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.frames import cut, shuffled_labels
+from tessera.functions.frames import label_shuffles
 from tessera.operators.graph import with_ends
 from tessera.schema import SchemaError, edges_out_of_range
 
+#: Counts by shuffle and pair of types that a task keeps; beyond, it hands on those of each batch.
+MOST_COUNTS = 1 << 22
+
 
 def check_range(edges: DataFrame, cells: DataFrame) -> None:
     if edges_out_of_range(edges.select("src", "dst"), cells).limit(1).count():
@@ -61,17 +65,41 @@ def colocation_counts(labels: DataFrame, edges: DataFrame, column: str = "cell_t
 def colocation_enrichment(labels: DataFrame, edges: DataFrame, n_perm: int = 200, seed: int = 0, column: str = "cell_type") -> DataFrame:
     """(a, b, observed, null_mean, null_sd, z) against ``n_perm`` shuffles of the labels over cells.
 
-    See ``shuffled_labels`` for the shuffles. A cell carries its labels of all shuffles as one array, so
-    edges meet cells twice in all; they are counted by shuffle and pair of types where they are read. z is
-    0 where the null does not vary.
+    See ``shuffled_labels`` for the shuffles. Edges meet the numbers of their cells, from which a cell's labels
+    in all shuffles follow; a task works them out and hands on counts by shuffle and pair of types, so neither
+    labels of shuffles nor edges by shuffle are rows. z is 0 where the null does not vary.
     """
-    coded, names = shuffled_labels(labels, column, n_perm, seed)
-    ends = with_ends(edges.select("src", "dst"), cut(coded), "codes")
-    pair = F.zip_with("a", "b", lambda x, y: x * len(names) + y)
-    each = ends.select(F.posexplode(pair).alias("perm", "pair")).groupBy("perm", "pair").agg(F.count(F.lit(1)).alias("n"))
+    rows, names, shuffles = label_shuffles(labels, column, n_perm, seed)
+    many = len(names)
+
+    def count(batches):
+        import pyarrow as pa
+
+        codes, total = shuffles(), None
+        if small := n_perm * many * many <= MOST_COUNTS:
+            total = np.zeros((n_perm, many * many), np.int64)
+
+        def out(perm, pair, n):
+            return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, t)) for c, t in ((perm, np.int32), (pair, np.int64), (n, np.int64))], names=["perm", "pair", "n"])
+
+        for batch in batches:
+            cells, at = np.unique(np.concatenate([np.asarray(batch.column(c), np.int64) for c in (0, 1)]), return_inverse=True)
+            a, b = np.split(at, 2)
+            for perm, code in enumerate(codes(cells)):
+                pair = code[a] * many + code[b]
+                if small:
+                    total[perm] += np.bincount(pair, minlength=many * many)
+                else:
+                    each, n = np.unique(pair, return_counts=True)
+                    yield out(np.full(len(each), perm), each, n)
+        if small:
+            perm, pair = np.nonzero(total)
+            yield out(perm, pair, total[perm, pair])
+
+    each = with_ends(edges.select("src", "dst"), rows, "idx").select("a", "b").mapInArrow(count, "perm int, pair long, n long").groupBy("perm", "pair").agg(F.sum("n").alias("n"))
     kind = labels.schema[column].dataType.simpleString()
-    types = labels.sparkSession.createDataFrame(list(enumerate(names)), f"code int, label {kind}")
-    pairs = types.select(F.col("code").alias("ca"), F.col("label").alias("a")).join(types.select(F.col("code").alias("cb"), F.col("label").alias("b")))  # types only
+    types = F.broadcast(labels.sparkSession.createDataFrame(list(enumerate(names)), f"code int, label {kind}"))  # the catalog of types
+    pairs = types.select(F.col("code").alias("ca"), F.col("label").alias("a")).join(F.broadcast(types.select(F.col("code").alias("cb"), F.col("label").alias("b"))))
     one, two = F.floor(F.col("pair") / max(len(names), 1)).cast("int"), (F.col("pair") % max(len(names), 1)).cast("int")
     # an edge counts in both directions
     sides = each.select("perm", one.alias("ca"), two.alias("cb"), "n").unionByName(each.select("perm", two.alias("ca"), one.alias("cb"), "n"))

@@ -89,3 +89,19 @@ def test_planted_pair_is_significant(spark):
     pairs = spark.createDataFrame([("L", "R"), ("N", "N")], "ligand string, receptor string")
     got = {(r["ligand"], r["source"], r["target"]): r for r in communication.interaction_summary(expr, clusters, pairs, 30).collect()}
     assert got["L", "s", "t"]["score"] == 5.0 and got["L", "s", "t"]["pvalue"] == 0.0 and got["N", "s", "t"]["pvalue"] == 1.0
+
+
+def test_labels_of_all_shuffles_are_never_rows(spark):
+    """Arrays of them are wider than Spark reckons, and were broadcast."""
+    labels = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(40)], "cell_id long, cell_type string")
+    got = spatial.colocation_enrichment(labels, spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long"), 30)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "codes" not in plan and "posexplode" not in plan
+
+
+def test_counts_by_batch_equal_counts_by_task(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, "abc"[i % 3]) for i in range(60)], "cell_id long, cell_type string")
+    edges = spark.createDataFrame([(i, (i * 7 + 1) % 60) for i in range(60)], "src long, dst long")
+    kept = sorted(map(tuple, spatial.colocation_enrichment(labels, edges, 20).collect()))
+    monkeypatch.setattr(spatial, "MOST_COUNTS", 0)
+    assert sorted(map(tuple, spatial.colocation_enrichment(labels, edges, 20).collect())) == kept
