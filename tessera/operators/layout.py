@@ -8,7 +8,7 @@ part.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.frames import cut, matrix
@@ -25,9 +25,13 @@ FAR, PUSHES = 4096, 5
 MOVE, PARTS = 4.0, 4
 
 
+def _vector(rows: DataFrame, column: str) -> Column:
+    return F.col(column) if rows.schema[column].dataType.simpleString() == "array<float>" else F.col(column).cast("array<double>")
+
+
 def distinct_vectors(rows: DataFrame, column: str = "features") -> DataFrame:
-    """(cell_id, x): the distinct vectors, each with the least cell_id that has it."""
-    x = F.col(column).cast("array<double>")
+    """(cell_id, x): the distinct vectors, each with the least cell_id that has it; floats stay floats, as half as many bytes move."""
+    x = _vector(rows, column)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return rows.where(x.isNotNull() & (F.size(x) > 0)).where(finite).groupBy(x.alias("x")).agg(F.min(F.col("cell_id").cast("long")).alias("cell_id")).select("cell_id", "x")
 
@@ -85,8 +89,12 @@ def _within(k: int):
     return search
 
 
-def _local_join(pairs, table):
-    """(src, dst, d2) of members of one neighbourhood that are nearer to each other than the farthest neighbour either has."""
+def _local_join(k: int):
+    """(src, dst, d2) of members of one neighbourhood that are nearer to each other than the farthest neighbour either has, the k nearest of each src."""
+    return lambda pairs, table: _joined(pairs, table, k)
+
+
+def _joined(pairs, table, k: int):
     ids = np.asarray(table.column("cell_id"))
     order = np.argsort(ids)
     x, bound, ids = matrix(table.column("x").combine_chunks())[order], np.asarray(table.column("bound"))[order], ids[order]
@@ -106,8 +114,15 @@ def _local_join(pairs, table):
         d2 = ((x[one] - x[two]) ** 2).sum(axis=1)
         for a, b in ((one, two), (two, one)):
             nearer = d2 < bound[a]
-            out.append((ids[a[nearer]], ids[b[nearer]], d2[nearer]))
-    return _pairs(*(np.concatenate([np.zeros(0), *c]) for c in zip(*out, strict=True))) if out else _pairs([], [], [])
+            out.append((a[nearer], b[nearer], d2[nearer]))
+    if not out:
+        return _pairs([], [], [])
+    # no list of the k nearest has more of this tile's than these
+    a, b, d2 = (np.concatenate(c) for c in zip(*out, strict=True))
+    order = np.lexsort((b, d2, a))
+    a, b, d2 = a[order], b[order], d2[order]
+    kept = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return _pairs(ids[a[kept]], ids[b[kept]], d2[kept])
 
 
 def _nearest_lists(pairs: DataFrame, k: int) -> DataFrame:
@@ -148,7 +163,7 @@ def embedding_neighbours(rows: DataFrame, k: int = 15, *, trees: int = 4, tile:
         bound = F.when(F.size("near") < k, float("inf")).otherwise(F.element_at("near", -1)["d2"])
         known = vectors.join(lists.select(F.col("src").alias("cell_id"), bound.alias("bound")), "cell_id", "left").na.fill(float("inf"), ["bound"])
         held = pairs.select(F.col("tile").alias("lot"), F.col("cell_id").alias("id")).distinct().join(known, F.col("id") == F.col("cell_id")).select("lot", "cell_id", "x", "bound")
-        met = pairs.groupBy("tile").cogroup(held.groupBy("lot")).applyInArrow(_local_join, "src long, dst long, d2 double")
+        met = pairs.groupBy("tile").cogroup(held.groupBy("lot")).applyInArrow(_local_join(k), "src long, dst long, d2 double")
         lists = _nearest_lists(flat.withColumn("old", F.lit(1)).unionByName(met.withColumn("old", F.lit(0))), k)
         changed = lists.agg(F.sum(F.size(F.filter("near", lambda e: e["old"] == 0)))).first()[0]
         if changed <= least * n * k:
@@ -266,7 +281,7 @@ def planar_layout(rows: DataFrame, k: int = 15, *, rounds: int = 10, epochs: int
         step = _moved(epochs, 1 - turn / rounds, 1 - (turn + 1) / rounds, far, seed, turn)
         points = cut(edges.groupBy("tile").cogroup(dealt.groupBy("lot")).applyInArrow(step, "cell_id long, tile long, px double, py double"))
     shared = vectors.join(points, "cell_id").select("x", "px", "py")
-    given = rows.select("cell_id", F.col(column).cast("array<double>").alias("x"))
+    given = rows.select("cell_id", _vector(rows, column).alias("x"))
     return given.join(shared, "x", "left").select("cell_id", "px", "py")
 
 

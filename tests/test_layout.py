@@ -74,3 +74,19 @@ def test_layout_keeps_more_than_two_components(spark, groups):
     assert kept > 0.3 and kept > 1.5 * plain
     # reruns agree
     assert placed[0].join(placed[1].select("cell_id", F.col("px").alias("qx"), F.col("py").alias("qy")), "cell_id").where("px <> qx or py <> qy").count() == 0
+
+
+def test_a_tile_hands_on_k_pairs_of_a_vector():
+    import pyarrow as pa
+
+    x = np.random.default_rng(6).normal(size=(30, 3))
+    pairs = pa.table({"of": np.zeros(30, np.int64), "cell_id": np.arange(30)})
+    table = pa.table({"cell_id": np.arange(30), "x": pa.array(x.tolist()), "bound": np.full(30, np.inf)})
+    got = layout._local_join(4)(pairs, table)
+    assert set(zip(got["src"].to_pylist(), got["dst"].to_pylist(), strict=True)) == brute(x, 4) and got.num_rows == 120
+
+
+def test_floats_stay_floats(spark):
+    rows = frame(spark, [[0, 1], [2, 3], [0, 1]]).selectExpr("cell_id", "cast(features as array<float>) as features")
+    assert layout.distinct_vectors(rows).schema["x"].dataType.simpleString() == "array<float>"
+    assert layout.planar_layout(rows, 1, rounds=1, epochs=1).where("px is not null").count() == 3
