@@ -15,8 +15,16 @@ from tessera.functions.frames import cut, matrix
 from tessera.operators.cluster import _moments, projection
 from tessera.operators.graph import build_graph, cell_tiles
 
-#: Vectors that are compared with each other in a task, and are laid out in one.
+#: Vectors that are laid out in a task, and of a tile of neighbour descent.
 TILE = 2048
+#: Bytes of the doubles of the vectors whose neighbours a task finds, and the least number of them; each task is sent all vectors once.
+LOT_BYTES, LEAST_LOT = 16 << 20, 2048
+#: Bytes of vectors that travel in a row; vectors of a task, and others, whose products are worked out at a time.
+PIECE, ROWS, OTHERS = 4096, 256, 4096
+#: Distances that are worked out at a time, and that wait to be sorted into lists.
+EXACT, WAITING = 1 << 15, 1 << 20
+#: Stands for a neighbour that is not known yet.
+NOBODY = np.iinfo(np.int64).max
 #: The curve 1 / (1 + A d^2B) by which near points attract: its fit to a least distance of 0.1 and a spread of 1.
 A, B = 1.5769, 0.8951
 #: Vectors of the whole table that push a tile's vectors away in a round, and pushes for each pull.
@@ -58,6 +66,140 @@ def _dealt(vectors: DataFrame, n: int, size: int, trees: int, seed: int) -> Data
     return cell_tiles(vectors.mapInArrow(project, "cell_id long, section_id long, x double, y double"), size)
 
 
+class _Lists:
+    """The ``k`` nearest others that some vectors have met, by distance, ties by id.
+
+    Products of single precision only rule vectors out, with a margin above their rounding; where they leave
+    many, products of double precision do. What is left is worked out as a sum of squares in the order of the
+    components, as SQL does it, so not even rounding orders it otherwise.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int):
+        self.ids, self.x, self.k = ids, x, k
+        self.centre = x.mean(axis=0)
+        self.c = x - self.centre
+        self.length = np.sqrt((self.c * self.c).sum(axis=1))
+        with np.errstate(over="ignore"):
+            self.low = np.concatenate([-self.c, np.ones((len(x), 1))], axis=1).astype(np.float32)
+        self.dist, self.dst = np.full((len(x), k), np.inf), np.full((len(x), k), NOBODY)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        for at in range(0, len(ids), OTHERS):
+            self._meet(ids[at : at + OTHERS], x[at : at + OTHERS])
+
+    def _meet(self, ids: np.ndarray, x: np.ndarray) -> None:
+        y = x - self.centre
+        half = (y * y).sum(axis=1) / 2
+        far = np.sqrt(2 * half.max())
+        single = max(far, self.length.max()) < 1e17
+        low = np.concatenate([y, half[:, None]], axis=1).astype(np.float32).T if single else None
+        room, waiting = x.shape[1] + 8, 0
+        found: list[tuple] = []
+        for at in range(0, len(self.ids), ROWS):
+            own = slice(at, at + ROWS)
+            bound, most = self.dist[own, -1], (self.length[own] + far) ** 2
+            limit = (bound * bound - self.length[own] ** 2) / 2
+            flat = None
+            if single and np.isfinite(bound).all():
+                s = self.low[own] @ low
+                flat = np.flatnonzero(s <= (limit + room * 2.0**-23 * most + 1e-37).astype(np.float32)[:, None])
+            if flat is None or len(flat) > 16 * len(bound):
+                s = half - self.c[own] @ y.T
+                margin = room * 2.0**-52 * most
+                if len(ids) > self.k:  # one more than k, as a vector may meet itself
+                    limit = np.fmin(limit, np.partition(s, self.k, axis=1)[:, self.k] + margin)
+                flat = np.flatnonzero(~(s > (limit + margin)[:, None]))
+            for part in range(0, len(flat), EXACT):
+                r, j = np.divmod(flat[part : part + EXACT], len(ids))
+                apart = self.x[at + r] - x[j]
+                dist = np.sqrt((apart * apart).cumsum(axis=1)[:, -1])
+                near = (dist <= bound[r]) & (self.ids[at + r] != ids[j])
+                found.append((at + r[near], dist[near], ids[j[near]]))
+                waiting += len(found[-1][0])
+                if waiting > WAITING:
+                    self._sort_in(found)
+                    found, waiting = [], 0
+        if waiting:
+            self._sort_in(found)
+
+    def _sort_in(self, found: list[tuple]) -> None:
+        row, dist, dst = (np.concatenate(c) for c in zip(*found, strict=True))
+        some = np.unique(row)
+        row, dist, dst = np.r_[np.repeat(some, self.k), row], np.r_[self.dist[some].ravel(), dist], np.r_[self.dst[some].ravel(), dst]
+        order = np.lexsort((dst, dist, row))
+        row = row[order]
+        kept = order[np.arange(len(row)) - np.searchsorted(row, row) < self.k]
+        self.dist[some], self.dst[some] = dist[kept].reshape(-1, self.k), dst[kept].reshape(-1, self.k)
+
+    def batches(self):
+        """(src, dst, rank, dist) as Arrow batches."""
+        import pyarrow as pa
+
+        for at in range(0, len(self.ids), OTHERS):
+            own = slice(at, at + OTHERS)
+            src = np.repeat(self.ids[own], self.k)
+            rank = np.tile(np.arange(1, self.k + 1, dtype=np.int32), len(self.ids[own]))
+            dst, dist = self.dst[own].ravel(), self.dist[own].ravel()
+            known = dst != NOBODY
+            yield pa.RecordBatch.from_arrays([pa.array(c[known]) for c in (src, dst, rank, dist)], names=["src", "dst", "rank", "dist"])
+
+
+def _packed(lots: int, piece: int, kind: type):
+    """(cell_id, x) -> pieces of up to ``piece`` vectors as bytes, dealt to ``lots`` lots."""
+
+    def pack(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()
+        for batch in batches:
+            ids, x = np.asarray(batch.column(0), np.int64), matrix(batch.column(1)).astype(kind)
+            starts = range(0, len(ids), piece)
+            home = pa.array([(turn + i) % lots for i in range(len(starts))], pa.int32())
+            turn += len(starts)
+            packed = [pa.array([c[at : at + piece].tobytes() for at in starts], pa.binary()) for c in (ids, x)]
+            yield pa.RecordBatch.from_arrays([home, *packed], names=["home", "ids", "x"])
+
+    return pack
+
+
+def _all_met(k: int, width: int, kind: type):
+    """Pieces of all vectors, a lot's own ones first -> the ``k`` nearest of each of its own; others pass by."""
+
+    def search(batches):
+        held, lists = [], None
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                mine, ids, x = (c.to_pylist() for c in batch.slice(at, 512).columns)
+                own = sum(len(i) for i, m in zip(ids, mine, strict=True) if m) // 8
+                ids, x = np.frombuffer(b"".join(ids), np.int64), np.frombuffer(b"".join(x), kind).reshape(-1, width).astype(np.float64)
+                if own:
+                    held.append((ids[:own], x[:own]))
+                if own < len(ids) and held:
+                    if lists is None:
+                        lists = _Lists(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+                        lists.meet(lists.ids, lists.x)
+                    lists.meet(ids[own:], x[own:])
+        if lists is None and held:
+            lists = _Lists(*(np.concatenate(c) for c in zip(*held, strict=True)), k)
+            lists.meet(lists.ids, lists.x)
+        if lists is not None:
+            yield from lists.batches()
+
+    return search
+
+
+def _all_compared(vectors: DataFrame, n: int, width: int, k: int) -> DataFrame:
+    """(src, dst, rank, dist) from all pairs: each task has a lot of vectors and their lists, and all vectors pass it by."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    lots = min(cores * -(-n * width * 8 // (cores * LOT_BYTES)), -(-n // LEAST_LOT))
+    kind = np.float32 if vectors.schema["x"].dataType.simpleString() == "array<float>" else np.float64
+    pieces = vectors.mapInArrow(_packed(lots, max(1, PIECE // (width * np.dtype(kind).itemsize)), kind), "home int, ids binary, x binary")
+    sent = pieces.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)))).select("lot", (F.col("lot") == F.col("home")).alias("own"), "ids", "x")
+    dealt = sent.repartitionById(lots, "lot").sortWithinPartitions(F.desc("own")).select("own", "ids", "x")
+    return dealt.mapInArrow(_all_met(k, width, kind), "src long, dst long, rank int, dist double")
+
+
 def _pairs(a: np.ndarray, b: np.ndarray, d2: np.ndarray):
     import pyarrow as pa
 
@@ -131,10 +273,13 @@ def _nearest_lists(pairs: DataFrame, k: int) -> DataFrame:
     return cut(each.groupBy("src").agg(F.slice(F.array_sort(F.collect_list(F.struct("d2", "dst", "old"))), 1, k).alias("near")))
 
 
-def embedding_neighbours(rows: DataFrame, k: int = 15, *, trees: int = 4, tile: int = TILE, least: float = 0.001, rounds: int = 12, seed: int = 0, column: str = "features") -> DataFrame:
+def embedding_neighbours(rows: DataFrame, k: int = 15, *, trees: int = 4, tile: int = TILE, least: float = 0.001, rounds: int | None = None, seed: int = 0, column: str = "features") -> DataFrame:
     """(src, dst, rank, dist): the ``k`` nearest other vectors of each distinct vector by Euclidean distance; ties go to the smaller id.
 
-    Exact for up to ``tile`` vectors. Beyond, vectors are dealt to tiles once for each of ``trees`` random
+    Exact at every size: all pairs are compared. A task has a lot of vectors, and all vectors are sent past
+    it, so its memory does not grow with the table; time and what is sent grow with its square.
+
+    With ``rounds`` the result is approximate beyond ``tile`` vectors: they are dealt to tiles once for each of ``trees`` random
     planes and compared within them; then neighbours of a vector are compared with each other (neighbour
     descent), until a round changes less than ``least`` of all neighbours, or after ``rounds`` rounds.
     A vector takes part in a round with its own neighbours and at most ``k`` of those that it is a neighbour
@@ -144,10 +289,12 @@ def embedding_neighbours(rows: DataFrame, k: int = 15, *, trees: int = 4, tile:
     if k < 1 or trees < 2:
         raise ValueError(f"k must be 1 or more and trees 2 or more (in one plane no neighbour is outside a tile), not {k} and {trees}")
     vectors = cut(distinct_vectors(rows, column))
-    n = vectors.count()
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("x"))).first()
     spark = vectors.sparkSession
     if n < 2:
         return spark.createDataFrame([], "src long, dst long, rank int, dist double")
+    if rounds is None:
+        return _all_compared(vectors, n, width, k)
     planes = 1 if n <= tile else trees
     dealt = cut(_dealt(vectors, n, tile, planes, seed) if n > tile else vectors.select("cell_id", F.lit(0).cast("long").alias("tile")))
     first = dealt.join(vectors, "cell_id").groupBy("tile").applyInArrow(_within(k), "src long, dst long, d2 double")
@@ -262,7 +409,7 @@ def planar_layout(rows: DataFrame, k: int = 15, *, rounds: int = 10, epochs: int
     vectors = cut(distinct_vectors(rows, column))
     n = vectors.count()
     if neighbours is None:
-        neighbours = embedding_neighbours(rows, k, tile=tile, seed=seed, column=column)
+        neighbours = embedding_neighbours(rows, k, column=column)
     scores = projection(vectors, "x")
     largest = scores.agg(F.max(F.abs("px"))).first()[0] or 1.0
     # a hair of noise by id, so that no two start at one point

@@ -90,3 +90,49 @@ def test_floats_stay_floats(spark):
     rows = frame(spark, [[0, 1], [2, 3], [0, 1]]).selectExpr("cell_id", "cast(features as array<float>) as features")
     assert layout.distinct_vectors(rows).schema["x"].dataType.simpleString() == "array<float>"
     assert layout.planar_layout(rows, 1, rounds=1, epochs=1).where("px is not null").count() == 3
+
+
+def test_all_pairs_are_compared_beyond_a_tile(spark, groups, monkeypatch):
+    monkeypatch.setattr(layout, "LEAST_LOT", 400)
+    for kind in ("double", "float"):
+        rows = frame(spark, groups.astype(np.float32)).selectExpr("cell_id", f"cast(features as array<{kind}>) as features").repartition(3)
+        got = layout.embedding_neighbours(rows, 8, tile=128, trees=2).toPandas()
+        assert set(zip(got.src, got.dst, strict=True)) == brute(groups.astype(np.float32).astype(float), 8) and len(got) == 12000
+        assert (got.sort_values(["src", "rank"])["rank"].to_numpy().reshape(-1, 8) == np.arange(1, 9)).all()
+
+
+def odd_vectors():
+    rng = np.random.default_rng(5)
+    apart = rng.normal(size=(200, 7))
+    yield "lattice", rng.integers(0, 3, (300, 5)).astype(float)
+    yield "near copies", np.concatenate([apart, apart[:3].repeat(40, axis=0) + 1e-9 * rng.normal(size=(120, 7))])
+    yield "far from the origin", 1e7 + apart
+    yield "one far vector", np.concatenate([1e-12 * apart, [[1e30] * 7]])
+    yield "last bits", np.array([rng.permutation([0.1, 0.2, 0.3, 0.7, 1.1, 1.3, 1e-8]) for _ in range(200)] + [[0.0] * 7])
+    yield "fewer than k", apart[:4]
+
+
+@pytest.mark.parametrize("name,x", list(odd_vectors()))
+def test_lists_order_as_sums_in_order_do(name, x, monkeypatch):
+    monkeypatch.setattr(layout, "ROWS", 32)
+    monkeypatch.setattr(layout, "OTHERS", 50)
+    monkeypatch.setattr(layout, "WAITING", 500)
+    x = np.unique(x, axis=0)
+    x = x[np.random.default_rng(1).permutation(len(x))]
+    sums = np.zeros((len(x), len(x)))
+    for c in range(x.shape[1]):
+        sums += (x[:, None, c] - x[None, :, c]) ** 2
+    dist, k, half = np.sqrt(sums), min(6, len(x) - 1), len(x) // 2
+    np.fill_diagonal(dist, np.inf)
+    ids = 10 * np.arange(len(x))
+    lists = layout._Lists(ids[:half], x[:half], 6)
+    lists.meet(ids[:half], x[:half])
+    lists.meet(ids[half:], x[half:])
+    for i in range(half):
+        want = np.lexsort((ids, dist[i]))[:k]
+        assert lists.dst[i, :k].tolist() == ids[want].tolist() and lists.dist[i, :k].tolist() == dist[i][want].tolist()
+
+
+def test_descent_is_for_those_who_ask(spark, groups):
+    got = {(r["src"], r["dst"]) for r in layout.embedding_neighbours(frame(spark, groups), 8, tile=128, trees=2, rounds=12).collect()}
+    assert 0.95 * 12000 <= len(got & brute(groups, 8)) < 12000
