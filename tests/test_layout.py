@@ -136,3 +136,10 @@ def test_lists_order_as_sums_in_order_do(name, x, monkeypatch):
 def test_descent_is_for_those_who_ask(spark, groups):
     got = {(r["src"], r["dst"]) for r in layout.embedding_neighbours(frame(spark, groups), 8, tile=128, trees=2, rounds=12).collect()}
     assert 0.95 * 12000 <= len(got & brute(groups, 8)) < 12000
+
+
+def test_layout_draws_on_exact_neighbours_beyond_a_tile(spark, groups, monkeypatch):
+    seen, edges = [], layout.fuzzy_edges
+    monkeypatch.setattr(layout, "fuzzy_edges", lambda near: seen.append(near) or edges(near))
+    placed = layout.planar_layout(frame(spark, groups), 8, tile=128, rounds=1, epochs=1)
+    assert {(r["src"], r["dst"]) for r in seen[0].collect()} == brute(groups, 8) and placed.where("px is not null").count() == len(groups)
